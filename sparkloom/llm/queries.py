@@ -15,6 +15,24 @@ def op5_weighted_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), layout(24), layout(25))
 
 
+def byte_bpe() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op4_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_counts import length_histogram, limits
+
+    return limits(length_histogram(table(spark, sf_dir, "documents"), byte_bpe()))
+
+
+def op9_linear_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), byte_bpe())
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import Mix
 
@@ -22,7 +40,9 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_length_histogram": op4_length_histogram,
     "op5_weighted_hash_tree": op5_weighted_hash_tree,
+    "op9_linear_grouping": op9_linear_grouping,
     "op10_source_mixing": op10_source_mixing,
 }
 ORACLES: dict[str, str] = {}
