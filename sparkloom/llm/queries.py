@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import table
+from .common import id_text_crc, table
 
 
 def op5_weighted_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +22,25 @@ def byte_bpe() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import fit, predict
+
+    documents = table(spark, sf_dir, "documents")
+    held = F.coalesce(F.pmod(id_text_crc("doc_id"), F.lit(3)) == 1, F.lit(False))
+    model = fit(documents.where(~held).select("doc_id", "text", "lang"))
+    return predict(documents, model, {"held_out": held})
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit, predict
+
+    documents = table(spark, sf_dir, "documents")
+    held = F.coalesce(F.pmod(id_text_crc("doc_id"), F.lit(4)) == 2, F.lit(False))
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where("toxic is not null")
+    learn = documents.where(~held).select("doc_id", "text").join(labels, "doc_id")
+    return predict(documents, fit(learn), extra={"held_out": held})
+
+
 def op4_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import length_histogram, limits
 
@@ -40,6 +60,8 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_language_id": op2_language_id,
+    "op3_toxicity": op3_toxicity,
     "op4_length_histogram": op4_length_histogram,
     "op5_weighted_hash_tree": op5_weighted_hash_tree,
     "op9_linear_grouping": op9_linear_grouping,

@@ -44,8 +44,8 @@ def limits(histogram: DataFrame) -> DataFrame:
     h = cut(histogram).withColumn("tokens", F.col("length") * F.col("docs")).withColumn("_all", F.lit(0)).withColumn("_span", F.expr(f"length div {SPAN}"))
     h = running_sum(h, ["_all"], "_span", ["length"], "docs", "docs_before")
     h = running_sum(h, ["_all"], "_span", ["length"], "tokens", "tokens_before")
-    whole = h.agg(F.sum("docs").alias("docs_total"), F.sum("tokens").alias("tokens_total"))
-    h = h.join(F.broadcast(whole))  # one row
+    docs, tokens = h.agg(F.sum("docs"), F.sum("tokens")).first()
+    h = h.withColumn("docs_total", F.lit(docs).cast("long")).withColumn("tokens_total", F.lit(tokens).cast("long"))
     over = F.col("docs_total") - F.col("docs_before") - F.col("docs")
     h = h.withColumn("docs_over", over).withColumn("tokens_over", F.col("tokens_total") - F.col("tokens_before") - F.col("tokens"))
     return h.select(
