@@ -17,6 +17,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: From this order on (less one) n-grams that count one are discounted wholly; they then add nothing to backing off and are not kept.
+PRUNED = 4
 #: Symbols for what stands before and after a word's letters.
 START, END = 1, 2
 U64 = np.uint64
@@ -114,7 +116,9 @@ def _tables(words: Words, counts: np.ndarray, order: int) -> list[dict[str, np.n
             kinds = np.bincount(inverse[longer], minlength=len(g))
             c = np.where(begins[k][at], c, np.maximum(kinds, 1))
         ones, twos = (c == 1).sum(), (c == 2).sum()
-        discount = min(max(ones / (ones + 2 * twos) if ones + twos else 0.5, 0.1), 0.95)
+        discount = np.full(len(c), min(max(ones / (ones + 2 * twos) if ones + twos else 0.5, 0.1), 0.95))
+        if k >= PRUNED:
+            discount[c == 1] = 1.0
         ctx, of = np.unique(contexts[k][at], return_inverse=True)
         total = np.bincount(of, c, len(ctx))
         kept = np.bincount(of, np.minimum(c, discount), len(ctx)) / total
@@ -168,6 +172,7 @@ def train(counted: dict[str, tuple[Words, np.ndarray]], order: int, shared_order
         for c in classes:
             own[c] = both + own[c][shared_orders:]
     symbols = len(np.unique(np.concatenate([own[c][0]["gram"] for c in classes]))) + 1
+    keep = []
     model = CharModel(order, classes, [], [], [], [], np.zeros(len(classes), np.float32))
     for k in range(order):
         tables = [own[c][k] for c in classes]
@@ -177,6 +182,7 @@ def train(counted: dict[str, tuple[Words, np.ndarray]], order: int, shared_order
         contexts = np.unique(np.concatenate([t["contexts"] for t in tables]))
         logs = np.zeros((len(union), len(classes)))
         weights = np.zeros((len(contexts), len(classes)))
+        useful = np.full(len(union), k < PRUNED)
         for j, t in enumerate(tables):
             weights[np.searchsorted(contexts, t["contexts"]), j] = np.log(t["weights"])
             share = np.exp(weights[np.searchsorted(contexts, context), j])
@@ -185,11 +191,16 @@ def train(counted: dict[str, tuple[Words, np.ndarray]], order: int, shared_order
                 model.floor[j] = np.log(share[0] / symbols)
             rich = np.zeros(len(union))
             rich[np.searchsorted(union, t["gram"])] = t["rich"]
+            useful |= rich > 0
             logs[:, j] = np.log(rich + share * lower)
         model.grams.append(union)
         model.logs.append(logs.astype(np.float32))
         model.contexts.append(contexts)
         model.weights.append(weights.astype(np.float32))
+        keep.append((useful, (weights < 0).any(axis=1)))
+    for k, (useful, told) in enumerate(keep):
+        model.grams[k], model.logs[k] = model.grams[k][useful], model.logs[k][useful]
+        model.contexts[k], model.weights[k] = model.contexts[k][told], model.weights[k][told]
     return model
 
 

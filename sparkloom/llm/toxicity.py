@@ -79,7 +79,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return w
 
 
-def fit(learn: DataFrame, *, order: int = 6, shared_orders: int = 1, most_chars: int = 8_000_000, most_calibration: int = 6_000_000, seed: int = 3) -> ToxicityModel:
+def fit(learn: DataFrame, *, order: int = 9, shared_orders: int = 1, most_chars: int = 4_000_000, most_calibration: int = 6_000_000, seed: int = 3) -> ToxicityModel:
     """A model of learn's (doc_id, text, toxic) rows; rows without text or label are not used.
 
     The character models are fitted on up to most_chars characters of each class, the logistic on up
