@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import id_text_crc, table
+from .hamming import SEARCH_SQL
 
 
 def op5_weighted_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +23,18 @@ def byte_bpe() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hamming import search_embeddings
+
+    return search_embeddings(table(spark, sf_dir, "embeddings"))
+
+
+def op7_metric_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .metric_join import link_embeddings
+
+    return link_embeddings(table(spark, sf_dir, "embeddings"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import fit, predict
 
@@ -60,11 +73,13 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_multi_index_hashing": op1_multi_index_hashing,
     "op2_language_id": op2_language_id,
     "op3_toxicity": op3_toxicity,
     "op4_length_histogram": op4_length_histogram,
     "op5_weighted_hash_tree": op5_weighted_hash_tree,
+    "op7_metric_range_join": op7_metric_range_join,
     "op9_linear_grouping": op9_linear_grouping,
     "op10_source_mixing": op10_source_mixing,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_multi_index_hashing": SEARCH_SQL}
