@@ -17,6 +17,12 @@ def op5_weighted_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), layout(24), layout(25))
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def byte_bpe() -> str:
     import public_tokenizers
 
@@ -79,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_length_histogram": op4_length_histogram,
     "op5_weighted_hash_tree": op5_weighted_hash_tree,
     "op7_metric_range_join": op7_metric_range_join,
+    "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_linear_grouping": op9_linear_grouping,
     "op10_source_mixing": op10_source_mixing,
 }
