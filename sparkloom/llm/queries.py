@@ -35,6 +35,12 @@ def op1_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search_embeddings(table(spark, sf_dir, "embeddings"))
 
 
+def op6_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .katz import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"), F.pmod(id_text_crc("doc_id"), F.lit(7)) == 2)
+
+
 def op7_metric_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .metric_join import link_embeddings
 
@@ -55,9 +61,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     documents = table(spark, sf_dir, "documents")
     held = F.coalesce(F.pmod(id_text_crc("doc_id"), F.lit(4)) == 2, F.lit(False))
-    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where("toxic is not null")
-    learn = documents.where(~held).select("doc_id", "text").join(labels, "doc_id")
-    return predict(documents, fit(learn), extra={"held_out": held})
+    return predict(documents, fit(documents.where(~held), table(spark, sf_dir, "labels")), extra={"held_out": held})
 
 
 def op4_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
     "op4_length_histogram": op4_length_histogram,
     "op5_weighted_hash_tree": op5_weighted_hash_tree,
+    "op6_katz_backoff": op6_katz_backoff,
     "op7_metric_range_join": op7_metric_range_join,
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_linear_grouping": op9_linear_grouping,
