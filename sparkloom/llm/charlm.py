@@ -204,15 +204,16 @@ def train(counted: dict[str, tuple[Words, np.ndarray]], order: int, shared_order
     return model
 
 
-def sampled(rows: DataFrame, label: str, most_chars: int, seed: int) -> DataFrame:
-    """About most_chars characters of each label's whole texts, or all where a label has fewer; rows of the sample depend on their ids alone.
+def sampled(rows: DataFrame, label: str, most_chars: int, seed: int, most_docs: int = 100_000, chars: Column | None = None) -> DataFrame:
+    """About most_chars characters, and most_docs rows, of each label's whole texts, or all where a label has fewer; whether a row is drawn depends on its id alone.
 
-    rows has doc_id, text and label. This bounds what a model is fitted on, whatever the input.
+    rows has doc_id and label, and text unless chars gives the length. This bounds what a model is
+    fitted on, whatever the input.
     """
-    sizes = rows.groupBy(label).agg(F.sum(F.length("text")).alias("chars")).collect()  # a row per label
+    sizes = rows.groupBy(label).agg(F.sum(F.length("text") if chars is None else chars).alias("chars"), F.count("*").alias("docs")).collect()  # a row per label
     part: Column = F.lit(0.0)
     for r in sizes:
-        part = F.when(F.col(label).eqNullSafe(F.lit(r[label])), F.lit(min(1.0, most_chars / max(1, r["chars"] or 0)))).otherwise(part)
+        part = F.when(F.col(label).eqNullSafe(F.lit(r[label])), F.lit(min(1.0, most_chars / max(1, r["chars"] or 0), most_docs / r["docs"]))).otherwise(part)
     return rows.where(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 20)) < part * (1 << 20))
 
 

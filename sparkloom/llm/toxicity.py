@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .charlm import CharModel, counted_words, sampled, train, words_of
-from .common import chunks
+from .common import chunks, cut
 
 #: Characters of a stretch.
 STRETCH = 5
@@ -79,16 +79,24 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return w
 
 
-def fit(learn: DataFrame, *, order: int = 9, shared_orders: int = 1, most_chars: int = 4_000_000, most_calibration: int = 6_000_000, seed: int = 3) -> ToxicityModel:
-    """A model of learn's (doc_id, text, toxic) rows; rows without text or label are not used.
+def fit(texts: DataFrame, labels: DataFrame, *, order: int = 9, shared_orders: int = 1, most_chars: int = 4_000_000, most_calibration: int = 6_000_000, seed: int = 3) -> ToxicityModel:
+    """A model of the (doc_id, text) rows of texts that labels (doc_id, toxic) mark; rows without text or label are not used, of several labels the highest holds.
 
     The character models are fitted on up to most_chars characters of each class, the logistic on up
     to most_calibration characters of each class in other rows. Without rows of both classes nothing
     is toxic.
     """
-    rows = learn.where("text is not null and toxic is not null and doc_id is not null").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
+    texts = texts.where("text is not null and doc_id is not null").select("doc_id", "text")
+    marks = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    # Samples are drawn among ids and lengths, so that no text is shuffled; the ids drawn are as bounded as the sample.
+    rows = cut(texts.select("doc_id", F.length("text").alias("chars")).join(marks, "doc_id"))
+
+    def drawn(part: DataFrame, most: int, seed: int) -> DataFrame:
+        ids = sampled(part, "toxic", most, seed, chars=F.col("chars")).select("doc_id", "toxic").distinct()
+        return texts.join(F.broadcast(ids), "doc_id")
+
     held = F.pmod(F.xxhash64(F.lit("calibrate"), "doc_id"), F.lit(4)) == 0
-    counted = counted_words(sampled(rows.where(~held), "toxic", most_chars, seed), "toxic")
+    counted = counted_words(drawn(rows.where(~held), most_chars, seed), "toxic")
     if set(counted) != {"0", "1"}:
         return ToxicityModel(None)
     out = ToxicityModel(train(counted, order, shared_orders))
@@ -102,7 +110,7 @@ def fit(learn: DataFrame, *, order: int = 9, shared_orders: int = 1, most_chars:
                 f = shared.value.features(part)
                 yield pa.RecordBatch.from_arrays([batch.column("toxic").slice(start, len(part)), *[pa.array(c) for c in f.T]], ["toxic", *"abcdef"])
 
-    got = sampled(rows.where(held), "toxic", most_calibration, seed + 1).select("toxic", "text").mapInArrow(features, "toxic int, a double, b double, c double, d double, e double, f double").toArrow()
+    got = drawn(rows.where(held), most_calibration, seed + 1).select("toxic", "text").mapInArrow(features, "toxic int, a double, b double, c double, d double, e double, f double").toArrow()
     y = got.column("toxic").to_numpy().astype(float)
     x = np.column_stack([got.column(c).to_numpy() for c in "abcde"]) if len(y) else np.zeros((0, 5))
     if len(y) < 10 or not 0 < y.sum() < len(y):
