@@ -34,10 +34,8 @@ def private_ranges() -> list[tuple[int, int]]:
 def is_private_v4(ip: Column) -> Column:
     """Whether an IPv4 address is not public; what is no address counts as private."""
     n = v4_number(ip)
-    hit = F.lit(False)
-    for low, high in private_ranges():
-        hit = hit | n.between(low, high)
-    return n.isNull() | F.coalesce(hit, F.lit(True))
+    ranges = F.array(*[F.struct(F.lit(low).cast("long").alias("low"), F.lit(high).cast("long").alias("high")) for low, high in private_ranges()])
+    return F.coalesce(F.exists(ranges, lambda r: n.between(r["low"], r["high"])), F.lit(True))
 
 
 def is_private(ip: Column) -> Column:

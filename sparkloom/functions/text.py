@@ -96,7 +96,7 @@ def found(c: Column, pattern: str, group: int = 0) -> Column:
 def clean_model_output(c: Column) -> Column:
     """Without a leading label and one pair of wrapping quotes."""
     c = F.trim(F.regexp_replace(c, r"^\s*(?i:rewritten(?: paragraph)?|rewrite|output|paragraph)\s*:\s*", ""))
-    return F.trim(F.regexp_replace(c, r'^["“](.*)["”]$', "$1"))
+    return F.trim(F.regexp_replace(c, r'(?s)^["“](.*)["”]$', "$1"))
 
 
 def most_tokens(c: Column) -> Column:
