@@ -5,13 +5,14 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..kernel.diff import diff_segments
 from ..kernel.html import article, group_edits, groups, render, rewrite_css, undo
 from .rewriting import EDITS, SEGMENTS
 
 
-@F.pandas_udf(f"array<struct<group_no:int,text:string,heading:boolean,edits:{EDITS}>>")
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("group_no", T.IntegerType()), T.StructField("text", T.StringType()), T.StructField("heading", T.BooleanType()), T.StructField("edits", EDITS)])))
 def _groups(html: pd.Series) -> pd.Series:
     return pd.Series([None if h is None else [{"group_no": k, "text": g.text, "heading": g.heading, "edits": [e._asdict() for e in group_edits(g)]} for k, g in enumerate(groups(h))] for h in html])
 
@@ -21,7 +22,7 @@ def page_groups(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", F.explode(_groups("html")).alias("g")).select("page_id", "g.*")
 
 
-@F.pandas_udf("struct<html:string,title:string,changed:int>")
+@F.pandas_udf(T.StructType([T.StructField("html", T.StringType()), T.StructField("title", T.StringType()), T.StructField("changed", T.IntegerType())]))
 def _render(html: pd.Series, url: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([render(h or "", u or "") for h, u in zip(html, url, strict=True)], columns=["html", "title", "changed"])
 
@@ -31,12 +32,12 @@ def rendered_pages(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", _render("html", "url").alias("r")).select("page_id", "r.*")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def undone(html: pd.Series) -> pd.Series:
     return html.map(lambda h: None if h is None else undo(h))
 
 
-@F.pandas_udf("array<struct<type:string,text:string>>")
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("type", T.StringType()), T.StructField("text", T.StringType())])))
 def _article(html: pd.Series) -> pd.Series:
     return pd.Series([None if h is None else [{"type": t, "text": x} for t, x in article(h)] for h in html])
 
@@ -46,7 +47,7 @@ def article_blocks(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", F.posexplode(_article("html")).alias("pos", "b")).select("page_id", "pos", "b.*")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def css(text: pd.Series, base: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else rewrite_css(t, b) for t, b in zip(text, base, strict=True)])
 

@@ -10,12 +10,14 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..kernel.rewrite import Catalogue, default
 from ..kernel.rules import rules_from_rows
 
-SEGMENTS = "array<struct<text:string,original:string,protected:boolean>>"
-EDITS = "array<struct<start:int,end:int,text:string,original:string>>"
+# Types, not DDL strings, so that this module can be imported before there is a session.
+SEGMENTS = T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("original", T.StringType()), T.StructField("protected", T.BooleanType())]))
+EDITS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("text", T.StringType()), T.StructField("original", T.StringType())]))
 #: What may make a protected segment.
 MARKS = r"[\"'“‘«„]|(?i:politician|model|agent|assistant)"
 
