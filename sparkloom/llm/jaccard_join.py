@@ -7,11 +7,13 @@
    first is the global order. A node keeps its shared shingles in that order and its prefix: two
    similar sets share one of their first |s| - ceil(0.8 |s|) + 1 shingles.
 3. The nodes of one prefix shingle, in runs of bounded length, are tied to their neighbours by size
-   and to the run's first node. These candidates are verified, which joins most groups of copies.
-   What candidate pairs then still lie in different components are verified too, so that no link
-   between components is lost though a group's pairs are not all made.
-4. Verification: the shared shingles of a cluster of candidates are cut into fragments of the order,
-   fragments count the overlaps of their pairs separately, and a pair's counts are summed.
+   and to the run's first node. All similar pairs lie within the clusters of what is tied.
+4. The shared shingles of a cluster are cut into fragments of the order, fragments count the overlaps
+   of pairs separately, and a pair's counts are summed. Where a cluster fits in a task, its fragments
+   are counted and summed there for all its pairs and only a spanning forest of the links goes on.
+   In larger clusters the tied pairs are verified first, fragments being spread over tasks, which
+   joins most groups of copies; of the others only pairs that then lie in different components are
+   made, so that no link between components is lost though a group's pairs are not all made.
 """
 
 from __future__ import annotations
@@ -25,12 +27,14 @@ from .fragments import TOKEN_BITS, exchange, fragment_keys, pack, shingles, unpa
 
 U64 = np.uint64
 #: Postings that are packed at a time, and that one fragment is meant to hold.
-BATCH, FRAGMENT = 3_000_000, 5_000_000
+BATCH, FRAGMENT = 2_000_000, 5_000_000
 #: Nodes of one run of a prefix shingle's nodes.
 RUN = 4096
 #: Bits of the filter of nodes that spares others' texts the shuffle: 4 MB, whatever the input.
 FILTER_BITS = 25
 NONE = 0xFFFF
+#: Clusters of up to so many nodes and shared shingles are joined in one task, without a row per pair.
+MOST_NODES, MOST_SHINGLES = 4096, 4_000_000
 
 
 def _width(fragments: int) -> int:
@@ -137,9 +141,13 @@ def document_sets(documents: DataFrame, n: int) -> DataFrame:
         tokens = np.concatenate([unpack(r["tokens"], width) for r in postings])
         base = np.cumsum([0, *[len(r["sets"]) // 8 for r in postings]])
         sets = np.concatenate([np.frombuffer(r["sets"], np.int64) for r in postings])
-        refs = np.concatenate([np.where((own := np.frombuffer(r["refs"], "<u2").astype(np.int64)) == NONE, -1, own + b) for r, b in zip(postings, base, strict=False)])
+        refs = np.concatenate([np.where((own := np.frombuffer(r["refs"], "<u2").astype(np.int32)) == NONE, -1, own + np.int32(b)) for r, b in zip(postings, base, strict=False)])
+        postings.clear()
+        held.clear()
         order = np.argsort(tokens)
-        tokens, refs = tokens[order], refs[order]
+        refs = refs[order]
+        tokens = tokens[order]
+        del order
         differs = tokens[1:] != tokens[:-1]
         alone = np.concatenate([[True], differs]) & np.concatenate([differs, [True]]) & (refs >= 0)
         counts = np.bincount(refs[alone], minlength=len(sets))
@@ -331,6 +339,68 @@ def verified(pairs: DataFrame, sets: DataFrame, clusters: DataFrame, percent: in
     return total.where(100 * F.col("overlap") >= percent * (F.col("na") + F.col("nb") - F.col("overlap"))).select("a", "b")
 
 
+def _forest(near: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of a symmetric adjacency matrix."""
+    out, left = [], near.any(axis=1)
+    while left.any():
+        rows = np.array([int(left.argmax())])
+        left[rows] = False
+        while len(rows):
+            at = np.flatnonzero(left)
+            reach = near[np.ix_(rows, at)]
+            hit = reach.any(axis=0)
+            out += zip(rows[reach[:, hit].argmax(axis=0)].tolist(), at[hit].tolist(), strict=True)
+            rows = at[hit]
+            left[rows] = False
+    return out
+
+
+def similar_pairs(tokens: list[np.ndarray], sizes: np.ndarray, percent: int, width: int = 4096) -> np.ndarray:
+    """Adjacency matrix of similar sets among a few: the distinct tokens are cut into fragments of so many, overlaps counted in each and summed."""
+    count = np.array([len(t) for t in tokens])
+    _, column = np.unique(np.concatenate(tokens), return_inverse=True)
+    row = np.repeat(np.arange(len(tokens)), count)
+    overlap = np.zeros((len(tokens), len(tokens)), np.float32)
+    order = np.argsort(column, kind="stable")
+    column, row = column[order], row[order]
+    ends = np.searchsorted(column, np.arange(0, column[-1] + width + 1, width)) if len(column) else [0]
+    for a, b in zip(ends, ends[1:], strict=False):
+        part = np.zeros((len(tokens), width), np.float32)
+        part[row[a:b], column[a:b] % width] = 1
+        overlap += part @ part.T
+    near = 100 * overlap >= percent * (sizes[:, None] + sizes[None, :] - overlap)
+    np.fill_diagonal(near, False)
+    return near
+
+
+def within_clusters(sets: DataFrame, clusters: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that hold the nodes of each cluster together as all links between them do; a cluster has to fit in a task."""
+    low = U64((1 << TOKEN_BITS) - 1)
+
+    def links(nodes, sizes, shared):
+        import pyarrow as pa
+
+        if len(nodes) > 1:
+            tree = _forest(similar_pairs([np.frombuffer(x, U64) & low for x in shared], np.array(sizes), percent))
+            if tree:
+                yield pa.RecordBatch.from_arrays([pa.array([nodes[i] for i, _ in tree], pa.int64()), pa.array([nodes[j] for _, j in tree], pa.int64())], ["a", "b"])
+
+    def run(batches):
+        current, nodes, sizes, shared = None, [], [], []
+        for batch in batches:
+            for component, node, n, data in zip(*[batch.column(c) for c in ("component", "node", "n", "shared")], strict=True):
+                if component.as_py() != current:
+                    yield from links(nodes, sizes, shared)
+                    current, nodes, sizes, shared = component.as_py(), [], [], []
+                nodes.append(node.as_py())
+                sizes.append(n.as_py())
+                shared.append(data.as_py())
+        yield from links(nodes, sizes, shared)
+
+    rows = sets.select("node", "n", "shared").join(clusters.select("node", "component"), "node").select("component", "node", "n", "shared")
+    return rows.repartition("component").sortWithinPartitions("component").mapInArrow(run, "a long, b long")
+
+
 def _pair(x: str, y: str) -> list:
     """Columns a < b with their sizes from two structs (n, node)."""
     small, large = F.least(f"{x}.node", f"{y}.node"), F.greatest(f"{x}.node", f"{y}.node")
@@ -341,7 +411,7 @@ def similar_components(sets: DataFrame, percent: int) -> DataFrame:
     """(node, component) of every node that has a similar one."""
     code = F.shiftrightunsigned("token", TOKEN_BITS)
     often = F.when(code < 512, code.cast("double")).otherwise(512 * F.pow(2.0, (code - 512 + 1) / 16))
-    listed = sets.select("node", "n", F.posexplode("prefix").alias("place", "token"), (F.octet_length("shared") / 8).cast("long").alias("shared_n"))
+    listed = sets.select("node", "n", F.explode("prefix").alias("token"))
     listed = cut(listed.withColumn("run", F.pmod(F.xxhash64("node"), F.ceil(often / RUN).cast("long"))).withColumn("x", F.struct("n", "node")))
     run = Window.partitionBy("token", "run").orderBy("x")
     tied = listed.select("token", "run", "x", F.lag("x").over(run).alias("y"), F.first("x").over(run).alias("z"))
@@ -351,21 +421,35 @@ def similar_components(sets: DataFrame, percent: int) -> DataFrame:
     fits = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
     candidates = cut(near.select(*_pair("x", "y")).distinct())
     clusters = cut(components(candidates.select("a", "b")))
+    mass = clusters.join(sets.select("node", F.octet_length("shared").alias("bytes")), "node").groupBy("component").agg(F.count("*").alias("nodes"), F.sum("bytes").alias("bytes"))
+    large = cut(mass.where((F.col("nodes") > MOST_NODES) | (F.col("bytes") > 8 * MOST_SHINGLES)).select("component"))
+    if large.isEmpty():
+        return components(within_clusters(sets, clusters, percent))
+    # Clusters that do not fit in a task.
+    held = cut(clusters.join(large, "component", "left_anti"))
+    together = cut(within_clusters(sets, held, percent))
+    clusters = cut(clusters.join(large, "component", "left_semi"))
+    sets = sets.join(clusters.select("node"), "node", "left_semi")
+    listed = listed.join(clusters.select("node"), "node", "left_semi")
+    candidates = cut(candidates.join(clusters.select(F.col("node").alias("a")), "a", "left_semi"))
     links = cut(verified(candidates.where(fits), sets, clusters, percent))
     labels = cut(components(links))
     # Candidates between components: only prefix shingles whose nodes are not all in one.
     of = listed.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     split = of.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
-    # What can still be shared from this shingle on bounds the overlap of a pair that shares it first.
-    rest = cut(of.join(split, "token").select("token", "component", "x", "n", (F.col("shared_n") - F.col("place")).alias("rest")))
+    signed = F.lit(-(1 << 63)).cast("long")  # orders packed shingles as unsigned numbers
+    whole = sets.select("node", "prefix", (F.element_at("prefix", -1).bitwiseXOR(signed)).alias("last"), ((F.octet_length("shared") / 8).cast("long") - F.size("prefix")).alias("beyond"))
+    rest = cut(of.join(split, "token").select("token", "component", "x", "n", "node").join(whole, "node").drop("node"))
     l, r = rest.alias("l"), rest.alias("r")
-    enough = F.least("l.rest", "r.rest") * (100 + percent) >= percent * (F.col("l.n") + F.col("r.n"))
-    crossed = l.join(r, (F.col("l.token") == F.col("r.token")) & (F.col("l.component") < F.col("r.component")) & (100 * F.least("l.n", "r.n") >= percent * F.greatest("l.n", "r.n")) & enough)
+    # A pair is made at one shingle only. Of two prefixes let one end first: what both sets share lies in
+    # both prefixes or beyond that one, which bounds the overlap.
+    both = F.array_intersect("l.prefix", "r.prefix")
+    most = F.size(both) + F.when(F.col("l.last") <= F.col("r.last"), F.col("l.beyond")).otherwise(F.col("r.beyond"))
+    enough = most * (100 + percent) >= percent * (F.col("l.n") + F.col("r.n"))
+    crossed = l.join(r, (F.col("l.token") == F.col("r.token")) & (F.col("l.component") < F.col("r.component")) & (100 * F.least("l.n", "r.n") >= percent * F.greatest("l.n", "r.n")) & enough & (F.array_min(both) == F.col("l.token")))
     more = cut(crossed.select(F.col("l.x").alias("x"), F.col("r.x").alias("y")).select(*_pair("x", "y")).distinct().join(candidates.select("a", "b"), ["a", "b"], "left_anti"))
-    if more.isEmpty():
-        return labels
-    found = cut(verified(more, sets, clusters, percent))
-    return labels if found.isEmpty() else components(links.union(found))
+    found = verified(more, sets, clusters, percent)
+    return components(links.union(found).union(together))
 
 
 def jaccard_components(documents: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
