@@ -35,7 +35,7 @@ START, END = U64(0x56789ABCDE13), U64(0x8ACE13579BD)
 #: Counts up to this are discounted. Bigrams are kept from this count on.
 MOST_DISCOUNTED, LEAST_KEPT = 5, 2
 #: Tokens that are packed at a time, and that one fragment is meant to be met by.
-BATCH, FRAGMENT = 3_000_000, 10_000_000
+BATCH, FRAGMENT = 2_000_000, 10_000_000
 
 
 @dataclass(frozen=True)
@@ -88,12 +88,13 @@ def _tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     out[first[of] + 1 + np.arange(len(words)) - np.repeat(np.cumsum(count) - count, count)] = words >> U64(64 - BITS)
     before = np.concatenate([[U64(0)], out[:-1]])
     before[first] = 0
-    return out, before, np.repeat(np.arange(n), count + 2)
+    return out, before, np.repeat(np.arange(n, dtype=np.int32), count + 2)
 
 
 def _grouped(words: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct words, and an order of all tokens by word and then the one before, and each token's word in that order."""
     kinds, at = np.unique(words, return_inverse=True)
+    at = at.astype(np.int32)
     low = 64 - max(1, int(len(kinds)).bit_length())
     order = np.argsort((at.astype(U64) << U64(low)) | (before >> U64(max(0, BITS - low))))
     return kinds, order, at[order]
@@ -108,6 +109,17 @@ def _runs(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def _short(times: np.ndarray) -> tuple[bytes, bytes]:
+    """Counts as a byte each, and those over 254 in full."""
+    return np.minimum(times, 255).astype(np.uint8).tobytes(), times[times > 254].astype("<u4").tobytes()
+
+
+def _long(short: bytes, over: bytes) -> np.ndarray:
+    times = np.frombuffer(short, np.uint8).astype(np.int32)
+    times[times == 255] = np.frombuffer(over, "<u4")
+    return times
+
+
 class _Cut:
     """The hash range in a power of two of fragments."""
 
@@ -138,7 +150,7 @@ def _batches(batches, columns: tuple[str, ...]):
             got = _tokens(part)
             for c in columns:
                 held[c].append(others[c][start : start + len(part)])
-            texts.append((got[0], got[1], got[2] + total))
+            texts.append((got[0], got[1], got[2] + np.int32(total)))
             size, total = size + len(got[0]), total + len(part)
             if size >= BATCH or total >= 50_000:
                 yield [np.concatenate(held[c]) for c in columns], *map(np.concatenate, zip(*texts, strict=True))
@@ -164,18 +176,20 @@ def count_tables(training: DataFrame, cut_: _Cut) -> DataFrame:
                 a, b = ends[f], ends[f + 1]
                 i, j = pair_ends[f], pair_ends[f + 1]
                 if a < b:
-                    yield _row(cut_, f, 0, words=pack(kinds[a:b], BYTES), pairs=per_word[a:b].astype("<u4").tobytes(), before=pack(before[i:j], BYTES), times=times[i:j].astype("<u4").tobytes())
+                    yield _row(cut_, f, 0, words=pack(kinds[a:b], BYTES), pairs=per_word[a:b].astype("<u4").tobytes(), before=pack(before[i:j], BYTES), **dict(zip(("times", "counts"), _short(times[i:j]), strict=True)))
 
     def reduce(held):
         all_words = [unpack(r["words"], BYTES) for r in held]
         kinds = np.unique(np.concatenate(all_words))
-        place = np.concatenate([np.repeat(np.searchsorted(kinds, w), np.frombuffer(r["pairs"], "<u4")) for w, r in zip(all_words, held, strict=True)])
+        place = np.concatenate([np.repeat(np.searchsorted(kinds, w).astype(np.int32), np.frombuffer(r["pairs"], "<u4")) for w, r in zip(all_words, held, strict=True)])
         before = np.concatenate([unpack(r["before"], BYTES) for r in held])
-        times = np.concatenate([np.frombuffer(r["times"], "<u4").astype(np.int64) for r in held])
+        times = np.concatenate([_long(r["times"], r["counts"]) for r in held])
+        del all_words
         order = np.lexsort((before, place))
         place, before, times = place[order], before[order], times[order]
+        del order
         start = _runs(place, before)
-        times = np.add.reduceat(times, start)
+        times = np.add.reduceat(times, start, dtype=np.int64)
         place, before = place[start], before[start]
         counts = np.bincount(place, times, len(kinds)).astype(np.int64)
         token = kinds != START
@@ -270,10 +284,9 @@ def score_texts(documents: DataFrame, tables: DataFrame, backoff: DataFrame, d:
                     continue
                 i, j, x, y = pair_ends[a], pair_ends[b], token_ends[a], token_ends[b]
                 used, place = np.unique(of[x:y], return_inverse=True)
-                big = np.flatnonzero(times[i:j] > 254)
-                short = np.minimum(times[i:j], 255).astype(np.uint8)
+                short, over = _short(times[i:j])
                 many = per_word[a:b]
-                yield _row(cut_, f, 4, words=pack(kinds[a:b], BYTES), pairs=many.astype("<u4").tobytes(), before=pack(before[start[i:j]], BYTES), times=short.tobytes(), counts=times[i:j][big].astype("<u4").tobytes(), docs=place.astype("<u2").tobytes(), extra=keys[used].astype("<i8").tobytes())
+                yield _row(cut_, f, 4, words=pack(kinds[a:b], BYTES), pairs=many.astype("<u4").tobytes(), before=pack(before[start[i:j]], BYTES), times=short, counts=over, docs=place.astype("<u2").tobytes(), extra=keys[used].astype("<i8").tobytes())
 
     def reduce(held):
         import pyarrow as pa
@@ -308,8 +321,7 @@ def score_texts(documents: DataFrame, tables: DataFrame, backoff: DataFrame, d:
             if r["kind"] != 4:
                 continue
             words, per_word = unpack(r["words"], BYTES), np.frombuffer(r["pairs"], "<u4")
-            times = np.frombuffer(r["times"], np.uint8).astype(np.int64)
-            times[times == 255] = np.frombuffer(r["counts"], "<u4")
+            times = _long(r["times"], r["counts"])
             if len(kinds):
                 at = np.minimum(np.searchsorted(kinds, words), len(kinds) - 1)
                 known = kinds[at] == words
