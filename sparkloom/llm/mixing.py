@@ -98,12 +98,13 @@ class Mix:
 
     def mixture(self) -> DataFrame:
         """The mix itself: shard, slot, doc_id, source_no, block, from_word, to_word; blocks joined by index."""
-        return self.slots().join(self.pieces().where("block is not null"), ["source_no", "block"]).select("shard", "slot", "doc_id", "source_no", "block", "from_word", "to_word")
+        return self.slots().hint("merge").join(self.pieces().where("block is not null"), ["source_no", "block"]).select("shard", "slot", "doc_id", "source_no", "block", "from_word", "to_word")
 
     def counted(self) -> DataFrame:
         """pieces() with times, how often the mix takes each block (0 at least)."""
         times = self.slots().groupBy("source_no", "block").agg(F.count("*").alias("times"))
-        return self.pieces().join(times, ["source_no", "block"], "left").withColumn("times", F.coalesce("times", F.lit(0).cast("long")))
+        # Spark takes the slots for as few as the sources they come from; without the hint it would broadcast them.
+        return self.pieces().join(times.hint("merge"), ["source_no", "block"], "left").withColumn("times", F.coalesce("times", F.lit(0).cast("long")))
 
     def taken(self) -> DataFrame:
         """One row per document row: doc_id, size, source_size, target, taken."""
@@ -126,7 +127,7 @@ def mixed_documents(documents: DataFrame, **settings) -> DataFrame:
     key = each.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("text_hash").alias("_hash"), "_copies", F.row_number().over(Window.partitionBy("doc_id", "source", "text_hash").orderBy("bucket", "row")).alias("_nth"))
     rows = documents.withColumn("_hash2", F.xxhash64("text"))
     rows = rows.withColumn("_nth2", F.row_number().over(Window.partitionBy("doc_id", "source", "_hash2").orderBy(F.lit(0))))
-    got = rows.join(key, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_hash2") == F.col("_hash")) & (F.col("_nth2") == F.col("_nth")))
+    got = rows.join(key.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_hash2") == F.col("_hash")) & (F.col("_nth2") == F.col("_nth")))
     got = got.withColumn("_copy", F.explode("_copies")).withColumn("_words", F.expr(f"if(_copy.whole, null, regexp_extract_all(text, '{WORD}', 0))".replace("\\", "\\\\")))
     part = F.expr("array_join(flatten(transform(_copy.spans, s -> slice(_words, cast(s.from_word + 1 as int), cast(s.to_word - s.from_word as int)))), ' ')")
     got = got.withColumn("_text", F.when(F.col("_copy.whole"), F.col("text")).otherwise(part))
