@@ -11,6 +11,7 @@ value), and the sorted hashes of contexts with a column of log backoff weights p
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -107,23 +108,26 @@ def _tables(words: Words, counts: np.ndarray, order: int) -> list[dict[str, np.n
     """One class's n-grams by order with Kneser-Ney counts, discounts and context totals."""
     hashes, contexts, begins, word = grams(words, order)
     weight = counts[word].astype(float)
-    unique = [np.unique(h, return_index=True, return_inverse=True) for h in hashes]
-    out = []
-    for k, (g, at, inverse) in enumerate(unique):
+    out: list[dict[str, np.ndarray]] = []
+    longer = None  # first places of the n-grams one longer
+    for k in range(order - 1, -1, -1):  # from the longest, so that only two orders are held at a time
+        g, at, inverse = np.unique(hashes.pop(), return_index=True, return_inverse=True)
+        context, begin = contexts.pop()[at], begins.pop()[at]
         c = np.bincount(inverse, weight, len(g))
-        if k + 1 < order:  # n-grams that more can stand before count what stands before them
-            longer = unique[k + 1][1]
-            kinds = np.bincount(inverse[longer], minlength=len(g))
-            c = np.where(begins[k][at], c, np.maximum(kinds, 1))
+        if longer is not None:  # n-grams that more can stand before count what stands before them
+            c = np.where(begin, c, np.maximum(np.bincount(inverse[longer], minlength=len(g)), 1))
+        del inverse
+        longer = at
         ones, twos = (c == 1).sum(), (c == 2).sum()
         discount = np.full(len(c), min(max(ones / (ones + 2 * twos) if ones + twos else 0.5, 0.1), 0.95))
         if k >= PRUNED:
             discount[c == 1] = 1.0
-        ctx, of = np.unique(contexts[k][at], return_inverse=True)
+        ctx, of = np.unique(context, return_inverse=True)
         total = np.bincount(of, c, len(ctx))
-        kept = np.bincount(of, np.minimum(c, discount), len(ctx)) / total
-        out.append({"gram": g, "context": contexts[k][at], "suffix": hashes[k - 1][at] if k else g, "rich": (c - np.minimum(c, discount)) / total[of], "share": kept[of], "contexts": ctx, "weights": kept})
-    return out
+        less = np.minimum(c, discount)
+        kept = np.bincount(of, less, len(ctx)) / total
+        out.append({"gram": g, "context": context, "suffix": hashes[k - 1][at] if k else g, "rich": ((c - less) / total[of]).astype(np.float32), "contexts": ctx, "weights": kept.astype(np.float32)})
+    return out[::-1]
 
 
 @dataclass
@@ -171,21 +175,24 @@ def train(counted: dict[str, tuple[Words, np.ndarray]], order: int, shared_order
         both = _tables(Words(letters, lengths), np.concatenate([counted[c][1] for c in classes]), shared_orders)
         for c in classes:
             own[c] = both + own[c][shared_orders:]
-    symbols = len(np.unique(np.concatenate([own[c][0]["gram"] for c in classes]))) + 1
+    symbols = len(np.unique(np.concatenate([own[c][0]["gram"] for c in classes]))) + 1  # and one that is not known
     keep = []
     model = CharModel(order, classes, [], [], [], [], np.zeros(len(classes), np.float32))
     for k in range(order):
         tables = [own[c][k] for c in classes]
+        for c in classes:
+            own[c][k] = None
         union, at = np.unique(np.concatenate([t["gram"] for t in tables]), return_index=True)
         context = np.concatenate([t["context"] for t in tables])[at]
         suffix = np.concatenate([t["suffix"] for t in tables])[at]
         contexts = np.unique(np.concatenate([t["contexts"] for t in tables]))
-        logs = np.zeros((len(union), len(classes)))
-        weights = np.zeros((len(contexts), len(classes)))
+        logs = np.zeros((len(union), len(classes)), np.float32)
+        weights = np.zeros((len(contexts), len(classes)), np.float32)
         useful = np.full(len(union), k < PRUNED)
+        at_context = np.searchsorted(contexts, context)
         for j, t in enumerate(tables):
             weights[np.searchsorted(contexts, t["contexts"]), j] = np.log(t["weights"])
-            share = np.exp(weights[np.searchsorted(contexts, context), j])
+            share = np.exp(weights[at_context, j])
             lower = np.exp(model.logs[k - 1][np.searchsorted(model.grams[k - 1], suffix), j]) if k else np.full(len(union), 1 / symbols)
             if not k:
                 model.floor[j] = np.log(share[0] / symbols)
@@ -217,16 +224,33 @@ def sampled(rows: DataFrame, label: str, most_chars: int, seed: int, most_docs:
     return rows.where(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 20)) < part * (1 << 20))
 
 
-def counted_words(sample: DataFrame, label: str) -> dict[str, tuple[Words, np.ndarray]]:
-    """The sample's distinct words and counts by label, on the driver: bounded by the sample's bound."""
-    words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))
-    got = sample.select(F.col(label).cast("string").alias("label"), words.alias("word")).groupBy("label", "word").count().toArrow()
+def counted(labels: list[str], words: list[str], counts: np.ndarray) -> dict[str, tuple[Words, np.ndarray]]:
+    """Words and their counts by label."""
     out = {}
-    labels = np.array(got.column("label").to_pylist(), dtype=object)
-    text, counts = np.array(got.column("word").to_pylist(), dtype=object), got.column("count").to_numpy()
-    for c in sorted(set(labels.tolist())):
-        here = labels == c
-        own = sorted(zip(text[here].tolist(), counts[here].tolist(), strict=True))
+    names = np.array(labels, dtype=object)
+    for c in sorted(set(labels)):
+        here = np.flatnonzero(names == c)
+        own = sorted(zip([words[k] for k in here], counts[here].tolist(), strict=True))
         letters = np.frombuffer("".join(w for w, _ in own).encode("utf-32-le", "replace"), "<u4")
         out[c] = (Words(letters, np.array([len(w) for w, _ in own])), np.array([n for _, n in own]))
     return out
+
+
+def trained(sample: DataFrame, label: str, order: int, shared_orders: int = 0) -> CharModel | None:
+    """A model of a bounded sample's words by label; None of none. One task trains it, not the driver, which gets the finished tables only."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        labels, words, counts = [], [], [np.zeros(0, np.int64)]
+        for batch in batches:
+            labels += batch.column(0).to_pylist()
+            words += batch.column(1).to_pylist()
+            counts.append(batch.column(2).to_numpy())
+        if labels:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(counted(labels, words, np.concatenate(counts)), order, shared_orders))], pa.binary())], ["model"])
+
+    words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))
+    rows = sample.select(F.col(label).cast("string").alias("label"), words.alias("word")).groupBy("label", "word").count()
+    got = rows.repartition(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(got[0]["model"]) if got else None

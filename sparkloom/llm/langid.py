@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .charlm import CharModel, counted_words, sampled, train, words_of
+from .charlm import CharModel, sampled, trained, words_of
 from .common import chunks
 
 UNKNOWN = "und"
@@ -68,15 +68,24 @@ def fit(learn: DataFrame, *, order: int = 5, most_chars: int = 3_000_000, most_c
     """
     rows = learn.where("text is not null and lang is not null and doc_id is not null").select("doc_id", "text", "lang")
     held = F.pmod(F.xxhash64(F.lit("calibrate"), "doc_id"), F.lit(5)) == 0
-    counted = counted_words(sampled(rows.where(~held), "lang", most_chars, seed), "lang")
-    if not counted:
+    model = trained(sampled(rows.where(~held), "lang", most_chars, seed), "lang", order)
+    if model is None:
         return LanguageModel(None)
-    out = LanguageModel(train(counted, order))
-    texts = sampled(rows.where(held), "lang", most_calibration, seed + 1).select("text").toArrow().column("text").to_pylist()
-    if len(texts) < 20:
+    out = LanguageModel(model)
+    shared = rows.sparkSession.sparkContext.broadcast(out)
+
+    def measure(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            lang, _, cost, _ = shared.value.score(texts)
+            yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(cost), pa.array([sum(map(str.isalpha, t)) + 1 for t in texts], pa.int64())], ["lang", "cost", "characters"])
+
+    got = sampled(rows.where(held), "lang", most_calibration, seed + 1).select("text").mapInArrow(measure, "lang string, cost double, characters long").toArrow()
+    if got.num_rows < 20:
         return out
-    lang, _, cost, _ = out.score(texts)
-    characters = np.array([sum(map(str.isalpha, t)) + 1 for t in texts])
+    lang, cost, characters = got.column("lang").to_pylist(), got.column("cost").to_numpy(), got.column("characters").to_numpy()
     best = np.array([out.model.classes.index(x) if x != UNKNOWN else -1 for x in lang])
     bounds = np.zeros((len(out.model.classes), 3))
     for k in range(len(bounds)):

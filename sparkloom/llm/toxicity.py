@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .charlm import CharModel, counted_words, sampled, train, words_of
+from .charlm import CharModel, sampled, trained, words_of
 from .common import chunks, cut
 
 #: Characters of a stretch.
@@ -96,10 +96,10 @@ def fit(texts: DataFrame, labels: DataFrame, *, order: int = 9, shared_orders: i
         return texts.join(F.broadcast(ids), "doc_id")
 
     held = F.pmod(F.xxhash64(F.lit("calibrate"), "doc_id"), F.lit(4)) == 0
-    counted = counted_words(drawn(rows.where(~held), most_chars, seed), "toxic")
-    if set(counted) != {"0", "1"}:
+    model = trained(drawn(rows.where(~held), most_chars, seed), "toxic", order, shared_orders)
+    if model is None or model.classes != ["0", "1"]:
         return ToxicityModel(None)
-    out = ToxicityModel(train(counted, order, shared_orders))
+    out = ToxicityModel(model)
     shared = rows.sparkSession.sparkContext.broadcast(out)
 
     def features(batches):
