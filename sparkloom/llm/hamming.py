@@ -93,7 +93,7 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = 10, segments: int | Non
         for i in range(segments):
             d = F.bit_count(_segment(differs, i, width))
             first = first & F.when(F.lit(i) < F.col("p.j"), d > r).when(F.lit(i) > F.col("p.j"), d >= r).otherwise(True)
-        met = probes.alias("p").join(index.alias("x"), (F.col("p.j") == F.col("x.j")) & (F.col("p.value") == F.col("x.value")) & (distance <= F.col("p.bound")) & first)
+        met = probes.hint("merge").alias("p").join(index.alias("x"), (F.col("p.j") == F.col("x.j")) & (F.col("p.value") == F.col("x.value")) & (distance <= F.col("p.bound")) & first)
         found = met.select("p.q", "x.ids", distance.alias("distance"))
         best = found if best is None else best.unionByName(found)
         nth = Window.partitionBy("q").orderBy("distance", F.col("ids")[0])

@@ -52,7 +52,7 @@ def forest(near: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def link_embeddings(embeddings: DataFrame, cosine: float = 0.9, pivots: int = 64, block: int = 2048, seed: int = 7) -> DataFrame:
+def link_embeddings(embeddings: DataFrame, cosine: float = 0.9, pivots: int | None = None, block: int = 2048, seed: int = 7) -> DataFrame:
     """One row per input row: vec_id, n_links, component_id, kept.
 
     Rows whose vector is null, empty, zero or holds null or non-finite components link with nothing
@@ -69,6 +69,8 @@ def link_embeddings(embeddings: DataFrame, cosine: float = 0.9, pivots: int = 64
     marked = raw.withColumn("v", F.when(good, F.col("v")))
     classes = cut(marked.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("class_id"), F.count("*").alias("n")).withColumn("key", F.xxhash64("v")).withColumn("dim", F.size("v")))
     reach = float(np.sqrt(2 - 2 * cosine))
+    if pivots is None:  # finer cells for more vectors
+        pivots = min(4096, max(64, classes.count() // 5000))
     # At most `pivots` rows come to the driver, whatever the input.
     sample = classes.orderBy(F.xxhash64(F.lit(seed), "key"), "key").limit(pivots).select("v").collect()
     by_dim: dict[int, list] = {}

@@ -1,11 +1,12 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from sparkloom.llm import jaccard_join
 from sparkloom.llm.fragments import pack, shingles, unpack
-from sparkloom.llm.jaccard_join import jaccard_components
+from sparkloom.llm.jaccard_join import jaccard_components, similar_pairs
 from tests.llm import edges
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -40,9 +41,10 @@ def run(spark, rows, **settings):
     return sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_shingles"], -1 if r["component_id"] is None or r["doc_id"] is None else r["component_id"]) for r in found)
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_equals_brute_force(spark, seed, monkeypatch):
+@pytest.mark.parametrize("seed,most_nodes", [(0, 4096), (1, 4096), (2, 0), (3, 25)])
+def test_equals_brute_force(spark, seed, most_nodes, monkeypatch):
     monkeypatch.setattr(jaccard_join, "RUN", 8)
+    monkeypatch.setattr(jaccard_join, "MOST_NODES", most_nodes)  # larger clusters are joined by pairs of candidates
     rng = random.Random(seed)
     word = lambda: f"w{rng.randrange(400)}"
     passage = [word() for _ in range(30)]
@@ -74,3 +76,16 @@ def test_shingles_and_packing():
     tokens, sizes = shingles(["A b c d e f", None, "", "x y", "a B c d e f"])
     assert sizes.tolist() == [2, 0, 0, 1, 2] and tokens[:2].tolist() == tokens[3:].tolist()
     assert unpack(pack(tokens, 7), 7).tolist() == tokens.tolist()
+
+
+def test_overlaps_of_fragments_sum_up():
+    rng = np.random.default_rng(0)
+    sets = [np.unique(rng.integers(0, 300, rng.integers(1, 200))).astype(np.uint64) for _ in range(30)]
+    sets += [s[: max(1, len(s) - 5)] for s in sets[:10]]
+    sizes = np.array([len(s) for s in sets])
+    for width in (7, 64, 4096):
+        near = similar_pairs(sets, sizes, 80, width)
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                both = len(np.intersect1d(a, b))
+                assert near[i, j] == (i != j and 100 * both >= 80 * (len(a) + len(b) - both))
