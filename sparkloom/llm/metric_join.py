@@ -62,7 +62,9 @@ def link_embeddings(embeddings: DataFrame, cosine: float = 0.9, pivots: int | No
     null if it has no other. Columns beside vec_id and embedding are not looked at; an empty table
     gives no rows.
     """
-    raw = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
+    # Vectors travel as they are stored, single precision as single; comparisons are made in double.
+    stored = embeddings.schema["embedding"].dataType.simpleString()
+    raw = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), (F.col("embedding") if stored == "array<float>" else F.col("embedding").cast("array<double>")).alias("v"))
     good = F.coalesce(
         (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0), F.lit(False)
     )
@@ -70,7 +72,7 @@ def link_embeddings(embeddings: DataFrame, cosine: float = 0.9, pivots: int | No
     classes = cut(marked.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("class_id"), F.count("*").alias("n")).withColumn("key", F.xxhash64("v")).withColumn("dim", F.size("v")))
     reach = float(np.sqrt(2 - 2 * cosine))
     if pivots is None:  # finer cells for more vectors
-        pivots = min(4096, max(64, classes.count() // 5000))
+        pivots = min(4096, max(32, classes.count() // 5000))
     # At most `pivots` rows come to the driver, whatever the input.
     sample = classes.orderBy(F.xxhash64(F.lit(seed), "key"), "key").limit(pivots).select("v").collect()
     by_dim: dict[int, list] = {}
