@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .charlm import mix
+from .common import lean
 
 U64 = np.uint64
 #: Bits of a hash that identify an n-gram; ten are left for what is kept beside it.
@@ -81,14 +82,14 @@ def shingles(texts: list[str | None], n: int = 5) -> tuple[np.ndarray, np.ndarra
 
 
 def pack(values: np.ndarray, width: int) -> bytes:
-    """Unsigned integers as so many bytes each, least first."""
-    return np.ascontiguousarray(values.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+    """Unsigned integers as so many bytes each, all first bytes first: of sorted values the high bytes hardly change, which compresses."""
+    return np.ascontiguousarray(np.ascontiguousarray(values.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
 
 
 def unpack(data: bytes, width: int) -> np.ndarray:
     out = np.zeros((len(data) // width, 8), np.uint8)
-    out[:, :width] = np.frombuffer(data, np.uint8).reshape(-1, width)
-    return out.view("<u8").ravel().astype(U64)
+    out[:, :width] = np.frombuffer(data, np.uint8).reshape(width, -1).T
+    return out.view("<u8").ravel().astype(U64, copy=False)
 
 
 def fragment_keys(spark: SparkSession, n: int) -> np.ndarray:
@@ -119,4 +120,4 @@ def exchange(packed: DataFrame, fragments: int, reduce: Callable[[list[dict]], I
         if held:
             yield from reduce(held)
 
-    return packed.repartition(fragments, "fragment").sortWithinPartitions("fragment").mapInArrow(run, schema)
+    return packed.repartition(fragments, "fragment").sortWithinPartitions("fragment").mapInArrow(lean(run), schema)

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, cut
+from .common import chunks, cut, lean
 from .fragments import exchange, fragment_keys, pack, unpack, word_hashes
 
 U64 = np.uint64
@@ -35,7 +35,7 @@ START, END = U64(0x56789ABCDE13), U64(0x8ACE13579BD)
 #: Counts up to this are discounted. Bigrams are kept from this count on.
 MOST_DISCOUNTED, LEAST_KEPT = 5, 2
 #: Tokens that are packed at a time, and that one fragment is meant to be met by.
-BATCH, FRAGMENT = 2_000_000, 10_000_000
+BATCH, FRAGMENT = 2_500_000, 10_000_000
 
 
 @dataclass(frozen=True)
@@ -146,7 +146,7 @@ def _batches(batches, columns: tuple[str, ...]):
     held, texts, size, total = {c: [] for c in columns}, [], 0, 0
     for batch in batches:
         others = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in columns}
-        for start, part in chunks((t.as_py() or "" for t in batch.column("text")), 2_000_000):
+        for start, part in chunks(t.as_py() or "" for t in batch.column("text")):
             got = _tokens(part)
             for c in columns:
                 held[c].append(others[c][start : start + len(part)])
@@ -200,7 +200,7 @@ def count_tables(training: DataFrame, cut_: _Cut) -> DataFrame:
         f = int(kinds[0] >> U64(cut_.shift))
         yield _row(cut_, f, 1, f, words=pack(kinds, BYTES), counts=counts.astype("<i8").tobytes(), pairs=np.bincount(place[keep], minlength=len(kinds)).astype("<u4").tobytes(), before=pack(before[keep], BYTES), times=times[keep].astype("<u4").tobytes(), extra=stats.astype("<f8").tobytes())
 
-    return cut(exchange(training.select("text").mapInArrow(packed, PACKED), cut_.count, reduce, PACKED))
+    return cut(exchange(training.select("text").mapInArrow(lean(packed), PACKED), cut_.count, reduce, PACKED))
 
 
 def discounts_of(tables: DataFrame) -> Discounts:
@@ -261,7 +261,7 @@ def backoff_tables(tables: DataFrame, d: Discounts, cut_: _Cut) -> DataFrame:
             if len(h):
                 yield _row(cut_, part, 3, f, before=pack(h, BYTES), extra=(np.log10(np.maximum(over, 1)) + weight)[at].tobytes())
 
-    return exchange(tables.select("part", "words", "counts", "pairs", "before", "times").mapInArrow(ask, PACKED), cut_.count, answer, PACKED)
+    return exchange(tables.select("part", "words", "counts", "pairs", "before", "times").mapInArrow(lean(ask), PACKED), cut_.count, answer, PACKED)
 
 
 def score_texts(documents: DataFrame, tables: DataFrame, backoff: DataFrame, d: Discounts, cut_: _Cut) -> DataFrame:
@@ -350,7 +350,7 @@ def score_texts(documents: DataFrame, tables: DataFrame, backoff: DataFrame, d:
                 ["key", "rows", "n_tokens", "n_known", "base_score", "score"],
             )
 
-    rows = documents.mapInArrow(packed, PACKED).union(tables.withColumn("extra", F.lit(None).cast("binary"))).union(backoff)
+    rows = documents.mapInArrow(lean(packed), PACKED).union(tables.withColumn("extra", F.lit(None).cast("binary"))).union(backoff)
     got = exchange(rows, cut_.count, reduce, "key long, rows long, n_tokens long, n_known long, base_score double, score double")
     return got.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("rows", "n_tokens", "n_known", "base_score", "score")])
 
