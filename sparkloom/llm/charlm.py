@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 PRUNED = 4
 #: Symbols for what stands before and after a word's letters.
 START, END = 1, 2
+from .common import lean
+
 U64 = np.uint64
 
 
@@ -252,5 +254,5 @@ def trained(sample: DataFrame, label: str, order: int, shared_orders: int = 0) -
 
     words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))
     rows = sample.select(F.col(label).cast("string").alias("label"), words.alias("word")).groupBy("label", "word").count()
-    got = rows.repartition(1).mapInArrow(run, "model binary").collect()
+    got = rows.repartition(1).mapInArrow(lean(run), "model binary").collect()
     return pickle.loads(got[0]["model"]) if got else None

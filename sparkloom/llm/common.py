@@ -94,7 +94,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return ends.groupBy("node").agg(F.min("component").alias("component"))
 
 
-def chunks(texts: Iterable[str], most: int = 2_000_000):
+def chunks(texts: Iterable[str], most: int = 1_000_000):
     """Runs of texts with about so many characters each, as (first index, texts); bounds the memory of vectorised code."""
     start, held, size = 0, [], 0
     for k, t in enumerate(texts):
@@ -105,3 +105,28 @@ def chunks(texts: Iterable[str], most: int = 2_000_000):
             start, held, size = k + 1, [], 0
     if held:
         yield start, held
+
+
+def lean(run):
+    """A function for mapInArrow that gives its worker's free memory back when it ends; workers are used again by other stages."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+
+    return wrapped
+
+
+def _give_back() -> None:
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc
+    if trim is not None:
+        trim(0)

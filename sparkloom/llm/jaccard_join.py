@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, components, cut
+from .common import chunks, components, cut, lean
 from .fragments import TOKEN_BITS, exchange, fragment_keys, pack, shingles, unpack
 
 U64 = np.uint64
@@ -72,7 +72,7 @@ class _Batches:
 
 def _parts(column):
     """chunks() of an Arrow column, with null as empty."""
-    return chunks((t.as_py() or "" for t in column), 2_000_000)
+    return chunks(t.as_py() or "" for t in column)
 
 
 def _set_keys(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -155,7 +155,7 @@ def document_sets(documents: DataFrame, n: int) -> DataFrame:
         if len(some):
             yield pa.RecordBatch.from_arrays([pa.array(sets[some]), pa.nulls(len(some), pa.int64()), pa.array(np.full(len(some), -1)), pa.array(counts[some])], names)
 
-    shuffled = rows.mapInArrow(packed, "fragment int, ids array<long>, sets binary, sizes binary, refs binary, tokens binary")
+    shuffled = rows.mapInArrow(lean(packed), "fragment int, ids array<long>, sets binary, sizes binary, refs binary, tokens binary")
     found = exchange(shuffled, count, reduce, "key long, doc_id long, n_shingles long, own long")
     return cut(found.groupBy("key", "doc_id", "n_shingles").agg(F.sum("own").alias("own"), F.count("*").alias("rows")))
 
@@ -182,7 +182,7 @@ def _sifted(documents: DataFrame, nodes: DataFrame) -> DataFrame:
             hit = ((shared.value[p >> 6] >> (p & 63)) & 1).all(axis=1)
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(hit)) for c in batch.columns[:2]], ["doc_id", "text"])
 
-    return documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", places(F.col("doc_id").cast("long")).alias("places")).mapInArrow(sift, "doc_id long, text string")
+    return documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", places(F.col("doc_id").cast("long")).alias("places")).mapInArrow(lean(sift), "doc_id long, text string")
 
 
 def ordered_sets(documents: DataFrame, nodes: DataFrame, n: int, percent: int) -> DataFrame:
@@ -238,7 +238,7 @@ def ordered_sets(documents: DataFrame, nodes: DataFrame, n: int, percent: int) -
         for a in range(0, len(start), 5000):
             yield pa.RecordBatch.from_pydict({"node": own[refs[start[a : a + 5000]]], "part": [value[i:j].tobytes() for i, j in zip(start[a : a + 5000], end[a : a + 5000], strict=True)]})
 
-    shuffled = texts.mapInArrow(packed, "fragment int, part int, ids binary, refs binary, tokens binary")
+    shuffled = texts.mapInArrow(lean(packed), "fragment int, part int, ids binary, refs binary, tokens binary")
     parts = exchange(shuffled, count, reduce, "node long, part binary")
     whole = parts.groupBy("node").agg(F.collect_list("part").alias("parts")).join(nodes.select("node", "n"), "node")
 
@@ -259,7 +259,7 @@ def ordered_sets(documents: DataFrame, nodes: DataFrame, n: int, percent: int) -
                 out["prefix"].append(value[:first].view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(out["node"], pa.int64()), pa.array(out["n"], pa.int64()), pa.array(out["shared"], pa.binary()), pa.array(out["prefix"], pa.list_(pa.int64()))], ["node", "n", "shared", "prefix"])
 
-    return cut(whole.mapInArrow(order, "node long, n long, shared binary, prefix array<long>"))
+    return cut(whole.mapInArrow(lean(order), "node long, n long, shared binary, prefix array<long>"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, clusters: DataFrame, percent: int, least_parts: int = 4) -> DataFrame:
@@ -290,7 +290,7 @@ def verified(pairs: DataFrame, sets: DataFrame, clusters: DataFrame, percent: in
             yield pa.RecordBatch.from_arrays([pa.array(out["cell"], pa.int64()), pa.array(out["node"], pa.int64()), pa.array(out["v"], pa.int32()), pa.array(out["tokens"], pa.binary())], ["cell", "node", "v", "tokens"])
 
     needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    held = sets.select("node", "shared").join(needed, "node").join(of, "node").mapInArrow(cut_up, "cell long, node long, v int, tokens binary")
+    held = sets.select("node", "shared").join(needed, "node").join(of, "node").mapInArrow(lean(cut_up), "cell long, node long, v int, tokens binary")
     asked = pairs.join(of.withColumnRenamed("node", "a"), "a").select(F.col("component").alias("cell"), F.col("a").alias("node"), F.explode(F.expr("sequence(0, parts - 1)")).alias("v"), F.lit(None).cast("binary").alias("tokens"), "b")
     both = held.withColumn("b", F.lit(None).cast("long")).unionByName(asked).withColumn("fragment", F.pmod(F.xxhash64("cell", "v"), F.lit(tasks)).cast("int"))
 
@@ -334,7 +334,7 @@ def verified(pairs: DataFrame, sets: DataFrame, clusters: DataFrame, percent: in
         some = overlap > 0
         yield pa.RecordBatch.from_arrays([pa.array(a[some]), pa.array(b[some]), pa.array(overlap[some])], ["a", "b", "overlap"])
 
-    partial = both.repartition(tasks, "fragment").mapInArrow(count, "a long, b long, overlap long")
+    partial = both.repartition(tasks, "fragment").mapInArrow(lean(count), "a long, b long, overlap long")
     total = partial.groupBy("a", "b").agg(F.sum("overlap").alias("overlap")).join(pairs, ["a", "b"])
     return total.where(100 * F.col("overlap") >= percent * (F.col("na") + F.col("nb") - F.col("overlap"))).select("a", "b")
 
@@ -398,7 +398,7 @@ def within_clusters(sets: DataFrame, clusters: DataFrame, percent: int) -> DataF
         yield from links(nodes, sizes, shared)
 
     rows = sets.select("node", "n", "shared").join(clusters.select("node", "component"), "node").select("component", "node", "n", "shared")
-    return rows.repartition("component").sortWithinPartitions("component").mapInArrow(run, "a long, b long")
+    return rows.repartition("component").sortWithinPartitions("component").mapInArrow(lean(run), "a long, b long")
 
 
 def _pair(x: str, y: str) -> list:

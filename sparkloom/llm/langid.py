@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .charlm import CharModel, sampled, trained, words_of
-from .common import chunks
+from .common import chunks, lean
 
 UNKNOWN = "und"
 
@@ -82,7 +82,7 @@ def fit(learn: DataFrame, *, order: int = 5, most_chars: int = 3_000_000, most_c
             lang, _, cost, _ = shared.value.score(texts)
             yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(cost), pa.array([sum(map(str.isalpha, t)) + 1 for t in texts], pa.int64())], ["lang", "cost", "characters"])
 
-    got = sampled(rows.where(held), "lang", most_calibration, seed + 1).select("text").mapInArrow(measure, "lang string, cost double, characters long").toArrow()
+    got = sampled(rows.where(held), "lang", most_calibration, seed + 1).select("text").mapInArrow(lean(measure), "lang string, cost double, characters long").toArrow()
     if got.num_rows < 20:
         return out
     lang, cost, characters = got.column("lang").to_pylist(), got.column("cost").to_numpy(), got.column("characters").to_numpy()
@@ -118,7 +118,7 @@ def predict(documents: DataFrame, model: LanguageModel, extra: dict | None = Non
 
     rows = documents.select("doc_id", *[c.alias(k) for k, c in extra.items()], "text")
     kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(score, f"{kept}, lang_pred string, score double, cross_entropy double, accepted boolean")
+    return rows.mapInArrow(lean(score), f"{kept}, lang_pred string, score double, cross_entropy double, accepted boolean")
 
 
 def accepted(documents: DataFrame, model: LanguageModel) -> DataFrame:
@@ -132,4 +132,4 @@ def accepted(documents: DataFrame, model: LanguageModel) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(shared.value.score(batch.column(at).to_pylist())[3], pa.bool_()))
 
-    return documents.mapInArrow(keep, documents.schema)
+    return documents.mapInArrow(lean(keep), documents.schema)

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, running_sum
+from .common import cut, lean, running_sum
 from .encode import ids
 
 
@@ -188,7 +188,7 @@ def pieces(documents: DataFrame, tokenizer: str, room: int, end: int) -> DataFra
                 d, k, a, n, c = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(k, pa.int32()), pa.array(a, pa.int64()), pa.array(n, pa.int64()), pa.array(c, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut_up, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(cut_up), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def pack(documents: DataFrame, tokenizer: str, room: int = 1024, end: int = 2, groups: int = 64, buckets: int = 256) -> DataFrame:
@@ -219,4 +219,4 @@ def pack(documents: DataFrame, tokenizer: str, room: int = 1024, end: int = 2, g
                 offset[here] = table[at, 2]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")] + [pa.array(sequence), pa.array(offset)], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "_rank").mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "_rank").mapInArrow(lean(place), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

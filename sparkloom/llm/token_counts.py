@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, running_sum
+from .common import cut, lean, running_sum
 from .encode import ids
 
 #: Lengths of one bucket of the running sums.
@@ -31,7 +31,7 @@ def length_histogram(documents: DataFrame, tokenizer: str) -> DataFrame:
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(np.fromiter(held.keys(), np.int64)), pa.array(np.fromiter(held.values(), np.int64))], ["length", "docs"])
 
-    return documents.select("text").mapInArrow(count, "length long, docs long").groupBy("length").agg(F.sum("docs").alias("docs"))
+    return documents.select("text").mapInArrow(lean(count), "length long, docs long").groupBy("length").agg(F.sum("docs").alias("docs"))
 
 
 def limits(histogram: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .charlm import CharModel, sampled, trained, words_of
-from .common import chunks, cut
+from .common import chunks, cut, lean
 
 #: Characters of a stretch.
 STRETCH = 5
@@ -110,7 +110,7 @@ def fit(texts: DataFrame, labels: DataFrame, *, order: int = 9, shared_orders: i
                 f = shared.value.features(part)
                 yield pa.RecordBatch.from_arrays([batch.column("toxic").slice(start, len(part)), *[pa.array(c) for c in f.T]], ["toxic", *"abcdef"])
 
-    got = drawn(rows.where(held), most_calibration, seed + 1).select("toxic", "text").mapInArrow(features, "toxic int, a double, b double, c double, d double, e double, f double").toArrow()
+    got = drawn(rows.where(held), most_calibration, seed + 1).select("toxic", "text").mapInArrow(lean(features), "toxic int, a double, b double, c double, d double, e double, f double").toArrow()
     y = got.column("toxic").to_numpy().astype(float)
     x = np.column_stack([got.column(c).to_numpy() for c in "abcde"]) if len(y) else np.zeros((0, 5))
     if len(y) < 10 or not 0 < y.sum() < len(y):
@@ -137,7 +137,7 @@ def predict(documents: DataFrame, model: ToxicityModel, threshold: float = 0.3,
 
     rows = documents.select("doc_id", *[c.alias(k) for k, c in (extra or {}).items()], "text")
     kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(score, f"{kept}, score double, predicted int")
+    return rows.mapInArrow(lean(score), f"{kept}, score double, predicted int")
 
 
 def ordinary(documents: DataFrame, model: ToxicityModel, threshold: float = 0.3) -> DataFrame:
@@ -151,4 +151,4 @@ def ordinary(documents: DataFrame, model: ToxicityModel, threshold: float = 0.3)
         for batch in batches:
             yield batch.filter(pa.array(shared.value.score(batch.column(at).to_pylist()) < threshold, pa.bool_()))
 
-    return documents.mapInArrow(keep, documents.schema)
+    return documents.mapInArrow(lean(keep), documents.schema)
