@@ -1,9 +1,9 @@
 """Katz backoff word models: Good-Turing discounted bigram counts with exactly normalised backoff weights in partitioned tables.
 
-p(w | h) is d c(h, w) / c(h) for a bigram counted twice or more in training and a(h) p(w) for any
-other, p(w) being the discounted share of w's count and, for all unknown words together, what the
-discounts leave. a(h) makes the probabilities after h sum to one. A text's words are followed by one
-end; before the first stands a start.
+p(w | h) is d c(h, w) / c(h) for a bigram seen in training and a(h) p(w) for any other, p(w) being the
+discounted share of w's count and, for all unknown words together, what the discounts leave. a(h)
+makes the probabilities after h sum to one. A text's words are followed by one end; before the first
+stands a start.
 
 The words' hash range is cut into fragments; a fragment holds its words' counts, backoff weights and
 the bigrams that end in them. Nothing that grows with the corpus is broadcast or collected:
@@ -33,7 +33,7 @@ U64 = np.uint64
 BITS, BYTES = 48, 6
 START, END = U64(0x56789ABCDE13), U64(0x8ACE13579BD)
 #: Counts up to this are discounted. Bigrams are kept from this count on.
-MOST_DISCOUNTED, LEAST_KEPT = 5, 2
+MOST_DISCOUNTED, LEAST_KEPT = 5, 1
 #: Tokens that are packed at a time, and that one fragment is meant to be met by.
 BATCH, FRAGMENT = 2_500_000, 10_000_000
 
@@ -135,9 +135,39 @@ FIELDS = ("words", "counts", "pairs", "before", "times", "docs", "extra")
 PACKED = "fragment int, kind int, part int, " + ", ".join(f"{f} binary" for f in FIELDS)
 
 
+def _pack_pairs(before: np.ndarray) -> bytes:
+    """Hashes of pairs' histories: the distinct ones once, and each pair's place among them."""
+    kinds, at = np.unique(before, return_inverse=True)
+    return len(kinds).to_bytes(4, "little") + pack(kinds, BYTES) + pack(at, _width(len(kinds)))
+
+
+def _unpack_pairs(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:4], "little")
+    return unpack(data[4 : 4 + n * BYTES], BYTES)[unpack(data[4 + n * BYTES :], _width(n)).astype(np.int64)]
+
+
+def _width(n: int) -> int:
+    return max(1, (max(n - 1, 0).bit_length() + 7) // 8)
+
+
+def _open(row: dict) -> dict:
+    """A row with its fields as _row was given them."""
+    import pyarrow as pa
+
+    out = dict(row)
+    for f in FIELDS:
+        v = row.get(f)
+        if v is not None:
+            size = int.from_bytes(v[:8], "little")
+            out[f] = pa.decompress(v[8:], decompressed_size=size, codec="zstd", asbytes=True) if size else b""
+    return out
+
+
 def _row(cut_: _Cut, f: int, kind: int, part: int = 0, **fields: bytes):
+    """A row for a fragment; its fields are compressed by themselves, which takes less of the shuffle than Spark's codec alone."""
     import pyarrow as pa
 
+    fields = {k: len(v).to_bytes(8, "little") + (pa.compress(v, codec="zstd", asbytes=True) if v else b"") for k, v in fields.items()}
     return pa.RecordBatch.from_pydict({"fragment": pa.array([int(cut_.keys[f])], pa.int32()), "kind": pa.array([kind], pa.int32()), "part": pa.array([part], pa.int32())} | {k: pa.array([fields.get(k)], pa.binary()) for k in FIELDS})
 
 
@@ -176,13 +206,14 @@ def count_tables(training: DataFrame, cut_: _Cut) -> DataFrame:
                 a, b = ends[f], ends[f + 1]
                 i, j = pair_ends[f], pair_ends[f + 1]
                 if a < b:
-                    yield _row(cut_, f, 0, words=pack(kinds[a:b], BYTES), pairs=per_word[a:b].astype("<u4").tobytes(), before=pack(before[i:j], BYTES), **dict(zip(("times", "counts"), _short(times[i:j]), strict=True)))
+                    yield _row(cut_, f, 0, words=pack(kinds[a:b], BYTES), pairs=per_word[a:b].astype("<u4").tobytes(), before=_pack_pairs(before[i:j]), **dict(zip(("times", "counts"), _short(times[i:j]), strict=True)))
 
     def reduce(held):
+        held = [_open(r) for r in held]
         all_words = [unpack(r["words"], BYTES) for r in held]
         kinds = np.unique(np.concatenate(all_words))
         place = np.concatenate([np.repeat(np.searchsorted(kinds, w).astype(np.int32), np.frombuffer(r["pairs"], "<u4")) for w, r in zip(all_words, held, strict=True)])
-        before = np.concatenate([unpack(r["before"], BYTES) for r in held])
+        before = np.concatenate([_unpack_pairs(r["before"]) for r in held])
         times = np.concatenate([_long(r["times"], r["counts"]) for r in held])
         del all_words
         order = np.lexsort((before, place))
@@ -198,7 +229,7 @@ def count_tables(training: DataFrame, cut_: _Cut) -> DataFrame:
         stats = np.concatenate([[counts[token].sum(), token.sum()], np.bincount(_class(counts[token]), counts[token], top), np.bincount(np.minimum(counts[token], top), minlength=top + 1)[:top], np.bincount(np.minimum(times[real], top), minlength=top + 1)[:top]])
         keep = real & (times >= LEAST_KEPT)
         f = int(kinds[0] >> U64(cut_.shift))
-        yield _row(cut_, f, 1, f, words=pack(kinds, BYTES), counts=counts.astype("<i8").tobytes(), pairs=np.bincount(place[keep], minlength=len(kinds)).astype("<u4").tobytes(), before=pack(before[keep], BYTES), times=times[keep].astype("<u4").tobytes(), extra=stats.astype("<f8").tobytes())
+        yield _row(cut_, f, 1, f, words=pack(kinds, BYTES), counts=counts.astype("<i8").tobytes(), pairs=np.bincount(place[keep], minlength=len(kinds)).astype("<u4").tobytes(), before=_pack_pairs(before[keep]), times=times[keep].astype("<u4").tobytes(), extra=stats.astype("<f8").tobytes())
 
     return cut(exchange(training.select("text").mapInArrow(lean(packed), PACKED), cut_.count, reduce, PACKED))
 
@@ -208,7 +239,7 @@ def discounts_of(tables: DataFrame) -> Discounts:
     top = MOST_DISCOUNTED + 2
     total = np.zeros(2 + 3 * top)
     for r in tables.select("extra").toLocalIterator():
-        total += np.frombuffer(r["extra"], "<f8")
+        total += np.frombuffer(_open({"extra": r["extra"]})["extra"], "<f8")
     return discounts(int(total[0]), int(total[1]), total[2 : 2 + top], total[2 + top : 2 + 2 * top], total[2 + 2 * top :])
 
 
@@ -221,10 +252,10 @@ def backoff_tables(tables: DataFrame, d: Discounts, cut_: _Cut) -> DataFrame:
 
     def ask(batches):
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in map(_open, batch.to_pylist()):
                 kinds, counts = unpack(r["words"], BYTES), np.frombuffer(r["counts"], "<i8")
                 yield _row(cut_, r["part"], 2, r["part"], words=r["words"], counts=r["counts"])
-                before, times = unpack(r["before"], BYTES), np.frombuffer(r["times"], "<u4").astype(np.int64)
+                before, times = _unpack_pairs(r["before"]), np.frombuffer(r["times"], "<u4").astype(np.int64)
                 if not len(before):
                     continue
                 share = _word_share(d, counts)[np.repeat(np.arange(len(kinds)), np.frombuffer(r["pairs"], "<u4"))]
@@ -238,6 +269,7 @@ def backoff_tables(tables: DataFrame, d: Discounts, cut_: _Cut) -> DataFrame:
                         yield _row(cut_, f, 3, r["part"], before=pack(histories[a:b], BYTES), times=seen[a:b].tobytes(), extra=lower[a:b].tobytes())
 
     def answer(held):
+        held = [_open(r) for r in held]
         kinds = np.concatenate([unpack(r["words"], BYTES) for r in held if r["kind"] == 2] or [np.zeros(0, U64)])
         counts = np.concatenate([np.frombuffer(r["counts"], "<i8") for r in held if r["kind"] == 2] or [np.zeros(0, np.int64)])
         f = int(np.flatnonzero(cut_.keys == held[0]["fragment"])[0])
@@ -286,7 +318,7 @@ def score_texts(documents: DataFrame, tables: DataFrame, backoff: DataFrame, d:
                 used, place = np.unique(of[x:y], return_inverse=True)
                 short, over = _short(times[i:j])
                 many = per_word[a:b]
-                yield _row(cut_, f, 4, words=pack(kinds[a:b], BYTES), pairs=many.astype("<u4").tobytes(), before=pack(before[start[i:j]], BYTES), times=short, counts=over, docs=place.astype("<u2").tobytes(), extra=keys[used].astype("<i8").tobytes())
+                yield _row(cut_, f, 4, words=pack(kinds[a:b], BYTES), pairs=many.astype("<u4").tobytes(), before=_pack_pairs(before[start[i:j]]), times=short, counts=over, docs=place.astype("<u2").tobytes(), extra=keys[used].astype("<i8").tobytes())
 
     def reduce(held):
         import pyarrow as pa
@@ -295,6 +327,9 @@ def score_texts(documents: DataFrame, tables: DataFrame, backoff: DataFrame, d:
         of_h: list[tuple[np.ndarray, np.ndarray]] = []
         model = None
         for r in held:
+            if r["kind"] == 4:
+                continue
+            r = _open(r)
             if r["kind"] == 2:
                 kinds, counts, weight = unpack(r["words"], BYTES), np.frombuffer(r["counts"], "<i8"), np.frombuffer(r["extra"])
             elif r["kind"] == 3:
@@ -310,7 +345,7 @@ def score_texts(documents: DataFrame, tables: DataFrame, backoff: DataFrame, d:
         pair_key, bonus = np.zeros(0, U64), np.zeros(0)
         if model is not None and len(model["before"]):
             place = np.repeat(np.arange(len(kinds)), np.frombuffer(model["pairs"], "<u4"))
-            before, times = unpack(model["before"], BYTES), np.frombuffer(model["times"], "<u4").astype(np.int64)
+            before, times = _unpack_pairs(model["before"]), np.frombuffer(model["times"], "<u4").astype(np.int64)
             h, value = (np.concatenate(c) for c in zip(*of_h, strict=True))
             order = np.argsort(h)
             at = order[np.minimum(np.searchsorted(h[order], before), len(h) - 1)]
@@ -320,6 +355,7 @@ def score_texts(documents: DataFrame, tables: DataFrame, backoff: DataFrame, d:
         for r in held:
             if r["kind"] != 4:
                 continue
+            r = _open(r)
             words, per_word = unpack(r["words"], BYTES), np.frombuffer(r["pairs"], "<u4")
             times = _long(r["times"], r["counts"])
             if len(kinds):
@@ -335,7 +371,7 @@ def score_texts(documents: DataFrame, tables: DataFrame, backoff: DataFrame, d:
             word = np.repeat(np.arange(len(words)), per_word)
             value = np.where(start, 0.0, low)[word] + np.where(last, 0.0, after)[word]
             if len(pair_key):
-                key = (at[word].astype(U64) << bits) | (unpack(r["before"], BYTES) >> cutoff)
+                key = (at[word].astype(U64) << bits) | (_unpack_pairs(r["before"]) >> cutoff)
                 where = np.minimum(np.searchsorted(pair_key, key), len(pair_key) - 1)
                 value = value + np.where(known[word] & ~start[word] & (pair_key[where] == key), bonus[where], 0.0)
             docs = np.frombuffer(r["docs"], "<u2").astype(np.int64)
