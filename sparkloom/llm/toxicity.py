@@ -28,7 +28,6 @@ class ToxicityModel:
     mean: np.ndarray | None = None
     spread: np.ndarray | None = None
     slope: np.ndarray | None = None
-    prior: float = 0.0
 
     def features(self, texts: list[str]) -> np.ndarray:
         """Of each text: ratio a character, largest of a word by character, of a stretch, of a word, log words; words."""
@@ -67,12 +66,12 @@ class ToxicityModel:
         return np.concatenate(out)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     w = np.zeros(x.shape[1])
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
-        grad = x.T @ (p - y) + ridge * w
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), grad)
+        grad = x.T @ (weight * (p - y)) + ridge * w
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), grad)
         w -= step
         if np.abs(step).max() < 1e-8:
             break
@@ -83,8 +82,9 @@ def fit(texts: DataFrame, labels: DataFrame, *, order: int = 9, shared_orders: i
     """A model of the (doc_id, text) rows of texts that labels (doc_id, toxic) mark; rows without text or label are not used, of several labels the highest holds.
 
     The character models are fitted on up to most_chars characters of each class, the logistic on up
-    to most_calibration characters of each class in other rows. Without rows of both classes nothing
-    is toxic.
+    to most_calibration characters of each class in other rows, each weighted by how many rows of its
+    class it stands for, so that the classes count as they are mixed whatever the limit. Without rows
+    of both classes nothing is toxic.
     """
     texts = texts.where("text is not null and doc_id is not null").select("doc_id", "text")
     marks = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
@@ -116,8 +116,11 @@ def fit(texts: DataFrame, labels: DataFrame, *, order: int = 9, shared_orders: i
     if len(y) < 10 or not 0 < y.sum() < len(y):
         out.mean, out.spread, out.slope = np.zeros(5), np.ones(5), np.array([0.0, 0.0, 4.0, 0.0, 0.0, -5.0])
         return out
-    out.mean, out.spread = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
-    out.slope = _logistic(np.column_stack([(x - out.mean) / out.spread, np.ones(len(y))]), y)
+    whole = {r["toxic"]: r["count"] for r in rows.where(held).groupBy("toxic").count().collect()}  # a row per label
+    weight = np.where(y > 0, whole[1] / y.sum(), whole[0] / (len(y) - y.sum()))
+    out.mean = np.average(x, axis=0, weights=weight)
+    out.spread = np.maximum(np.sqrt(np.average((x - out.mean) ** 2, axis=0, weights=weight)), 1e-6)
+    out.slope = _logistic(np.column_stack([(x - out.mean) / out.spread, np.ones(len(y))]), y, weight)
     return out
 
 
