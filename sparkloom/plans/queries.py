@@ -370,11 +370,13 @@ def accept_shape_checks(spark, d):
 
 @query("accept_rewrites", f"with {SQL_PLANTED} select doc_id, doc_id % {len(PLANTS)} <> 6 as accepted, false as altered_accepted from documents")
 def accept_rewrites(spark, d):
-    """The rules' own rewrite of a planted phrase is accepted unless it is too long, one with a word more is not."""
-    own = planted_blocks(spark, d)
-    last = iv.latest(own, ["doc_id"], "pos")
-    r = rw.rewrite_blocks(last)
-    return r.select("doc_id", validation.accepts(F.col("original"), F.col("text")).alias("accepted"), validation.accepts(F.col("original"), F.concat("text", F.lit(" indeed"))).alias("altered_accepted"))
+    """The rules' own rewrites of all blocks of a document are accepted unless the planted one is too long, none with a word more is."""
+    return accepted_blocks(spark, d).groupBy("doc_id").agg(F.bool_and("accepted").alias("accepted"), F.bool_or("altered_accepted").alias("altered_accepted"))
+
+
+def accepted_blocks(spark, d):
+    r = rw.rewrite_blocks(planted_blocks(spark, d))
+    return r.select("doc_id", "pos", validation.accepts(F.col("original"), F.col("text")).alias("accepted"), validation.accepts(F.col("original"), F.concat("text", F.lit(" indeed"))).alias("altered_accepted"))
 
 
 @query("model_fallback", "select conv_id, turn, case when turn % 2 = 0 then text || '!' else text end as text, case when turn % 2 = 0 then 'ai' else 'rules' end as engine from conversations")
