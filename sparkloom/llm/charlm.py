@@ -57,14 +57,14 @@ class Words:
 
 
 def words_of(texts: list[str | None]) -> Words:
-    joined = "\0".join((t or "").lower() for t in texts)
-    codes = np.frombuffer(joined.encode("utf-32-le", "replace"), "<u4")
+    lower = [(t or "").lower() for t in texts]
+    codes = np.frombuffer("\0".join(lower).encode("utf-32-le", "replace"), "<u4")
     letter = _letters()[codes]
     edge = np.diff(letter.astype(np.int8), prepend=0, append=0)
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     if not len(starts):
         return Words(np.zeros(0, np.uint32), np.zeros(0, int))
-    text = np.searchsorted(np.flatnonzero(codes == 0), starts)
+    text = np.searchsorted(np.cumsum([len(t) + 1 for t in lower]), starts, side="right")
     own, lengths = codes[letter], ends - starts
     first = np.cumsum(lengths) - lengths
     place = np.arange(len(own)) - np.repeat(first, lengths)
