@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Iterable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: A side of at most so many narrow rows may be broadcast.
 SMALL_ROWS = 100_000
+#: Edges of up to so many nodes, 32 MB, are joined in one task.
+ONE_TASK = 2_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +39,14 @@ def id_text_crc(column: str) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary"))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like name that df has not."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def running_sum(df: DataFrame, group: list[str], bucket: str, order: list[Column | str], value: str, start: str = "start", row: str | None = None) -> DataFrame:
     """Adds the exclusive running sum of value within group, by bucket and then order.
 
@@ -66,14 +77,52 @@ def join_small(big: DataFrame, small: DataFrame, key: str, how: str = "inner", s
     return big.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")).join(many, [key, "_salt"], how).drop("_salt")
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def settled(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of edges and the smallest node that each reaches: roots hook to smaller neighbours and paths are halved until nothing moves."""
+    nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = place[: len(a)], place[len(a) :]
+    parent = np.arange(len(nodes))
+    while len(x):
+        np.minimum.at(parent, np.maximum(x, y), np.minimum(x, y))
+        while True:
+            up = parent[parent]
+            if (up == parent).all():
+                break
+            parent = up
+        x, y = parent[x], parent[y]
+        x, y = x[x != y], y[x != y]
+    return nodes, nodes[parent]
+
+
+def _contracted(batches):
+    """For mapInArrow: edges (a, b) as the forest (node, smallest reached) that holds a partition's nodes together."""
+    import pyarrow as pa
+
+    held, size = [], 0
+    for batch in batches:
+        held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+        size += batch.num_rows
+        if size > ONE_TASK:
+            held = [settled(*map(np.concatenate, zip(*held, strict=True)))]
+            size = len(held[0][0])
+    if held:
+        node, root = settled(*map(np.concatenate, zip(*held, strict=True)))
+        yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], ["a", "b"])
+
+
+def components(edges: DataFrame, most_rounds: int = 60, one_task: int = ONE_TASK) -> DataFrame:
     """Connected components of edges (a, b) of longs: rows (node, component), component being the smallest node.
 
-    Alternates large-star and small-star contraction. Each half round is an aggregation and a join
-    that Spark may split where a node is hot; edges never meet in one place. Self-loops and repeated
-    edges are allowed, nulls are not. No edges give no rows.
+    Every partition first contracts its own edges to a forest. Where the forests' edges are one_task at
+    most, one task joins them; they are counted first, so what it holds is bounded. Beyond that
+    large-star and small-star contraction alternate: each half round is an aggregation and a join that
+    Spark may split where a node is hot, and edges never meet in one place. Both ways give the same
+    rows. Self-loops and repeated edges are allowed, nulls are not. No edges give no rows.
     """
-    now = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    now = cut(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).mapInArrow(lean(_contracted), "a long, b long"))
+    if now.count() <= one_task:
+        return now.repartition(1).mapInArrow(lean(_contracted), "node long, component long")
+    now = cut(now.distinct())
     seen = None
     for _ in range(most_rounds):
         both = now.union(now.select("b", "a"))

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, components, cut, lean
+from .common import chunks, components, cut, fresh, lean
 from .fragments import TOKEN_BITS, exchange, fragment_keys, pack, shingles, unpack
 
 U64 = np.uint64
@@ -53,11 +53,12 @@ class _Batches:
     def __init__(self, n: int):
         self.n = n
 
-    def __call__(self, batches, ids: str, text: str):
+    def __call__(self, batches):
+        """Of (doc_id, rid, text): ids as (doc_id, rid), shingles, and how many each text has."""
         held_ids, held, sizes, total = [], [], [], 0
         for batch in batches:
-            names = batch.column(ids).to_pylist()
-            for start, part in _parts(batch.column(text)):
+            names = list(zip(batch.column("doc_id").to_pylist(), batch.column("rid").to_pylist(), strict=True))
+            for start, part in _parts(batch.column("text")):
                 tokens, size = shingles(part, self.n)
                 held_ids += names[start : start + len(part)]
                 held.append(tokens)
@@ -92,10 +93,16 @@ def _fragments(texts: DataFrame, shingle_share: float = 5.5) -> int:
     return 1 << max(4, int(np.ceil(np.log2(max(1, chars / shingle_share / FRAGMENT)))))
 
 
+def _identified(documents: DataFrame) -> DataFrame:
+    """(doc_id, rid, text); rid is a 64-bit hash of id and text, which a null id has too."""
+    number = F.col("doc_id").cast("long")
+    return documents.select(number.alias("doc_id"), F.xxhash64(number, "text").alias("rid"), "text")
+
+
 def document_sets(documents: DataFrame, n: int) -> DataFrame:
-    """Rows (key, doc_id, n_shingles, own, rows): of each distinct document and set its size, and of each set's key (doc_id null, n_shingles -1) its shingles that occur once."""
+    """Rows (key, doc_id, rid, n_shingles, own, rows): of each distinct document and set its size, and of each set's key (rid null, n_shingles -1) its shingles that occur once."""
     spark = documents.sparkSession
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = _identified(documents)
     count = _fragments(rows)
     keys, shift, width = fragment_keys(spark, count), U64(TOKEN_BITS - int(np.log2(count))), _width(count)
     batched = _Batches(n)
@@ -104,10 +111,10 @@ def document_sets(documents: DataFrame, n: int) -> DataFrame:
         import pyarrow as pa
 
         turn = 0
-        for ids, tokens, sizes in batched(batches, "doc_id", "text"):
+        for ids, tokens, sizes in batched(batches):
             sets = _set_keys(tokens, sizes)
             turn += 1
-            yield pa.RecordBatch.from_pydict({"fragment": pa.array([int(keys[(turn + len(ids)) % count])], pa.int32()), "ids": pa.array([ids], pa.list_(pa.int64())), "sets": [sets.tobytes()], "sizes": [sizes.tobytes()], "refs": pa.array([None], pa.binary()), "tokens": pa.array([None], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"fragment": pa.array([int(keys[(turn + len(ids)) % count])], pa.int32()), "ids": pa.array([[i for i, _ in ids]], pa.list_(pa.int64())), "rids": [np.array([r for _, r in ids], np.int64).tobytes()], "sets": [sets.tobytes()], "sizes": [sizes.tobytes()], "refs": pa.array([None], pa.binary()), "tokens": pa.array([None], pa.binary())})
             of = np.repeat(np.arange(len(ids)), sizes)
             order = np.argsort(tokens)
             tokens, of = tokens[order], of[order]
@@ -125,17 +132,17 @@ def document_sets(documents: DataFrame, n: int) -> DataFrame:
                 place = np.full(len(ids) + 1, NONE)
                 place[used] = np.arange(len(used))
                 refs = np.where(refs == NONE, NONE, place[np.minimum(refs, len(ids))])
-                yield pa.RecordBatch.from_pydict({"fragment": pa.array([int(keys[f])], pa.int32()), "ids": pa.array([None], pa.list_(pa.int64())), "sets": [sets[used].tobytes()], "sizes": pa.array([None], pa.binary()), "refs": [refs.astype("<u2").tobytes()], "tokens": [pack(tokens[a:b] & ((U64(1) << shift) - U64(1)), width)]})
+                yield pa.RecordBatch.from_pydict({"fragment": pa.array([int(keys[f])], pa.int32()), "ids": pa.array([None], pa.list_(pa.int64())), "rids": pa.array([None], pa.binary()), "sets": [sets[used].tobytes()], "sizes": pa.array([None], pa.binary()), "refs": [refs.astype("<u2").tobytes()], "tokens": [pack(tokens[a:b] & ((U64(1) << shift) - U64(1)), width)]})
 
     def reduce(held):
         import pyarrow as pa
 
-        names = ["key", "doc_id", "n_shingles", "own"]
+        names = ["key", "doc_id", "rid", "n_shingles", "own"]
         postings = [r for r in held if r["tokens"] is not None]
         for r in held:
             if r["tokens"] is None:
                 sizes = np.frombuffer(r["sizes"], np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(r["sets"], np.int64)), pa.array(r["ids"], pa.int64()), pa.array(sizes), pa.array(np.zeros(len(sizes), np.int64))], names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(r["sets"], np.int64)), pa.array(r["ids"], pa.int64()), pa.array(np.frombuffer(r["rids"], np.int64)), pa.array(sizes), pa.array(np.zeros(len(sizes), np.int64))], names)
         if not postings:
             return
         tokens = np.concatenate([unpack(r["tokens"], width) for r in postings])
@@ -153,22 +160,26 @@ def document_sets(documents: DataFrame, n: int) -> DataFrame:
         counts = np.bincount(refs[alone], minlength=len(sets))
         some = np.flatnonzero(counts)
         if len(some):
-            yield pa.RecordBatch.from_arrays([pa.array(sets[some]), pa.nulls(len(some), pa.int64()), pa.array(np.full(len(some), -1)), pa.array(counts[some])], names)
+            yield pa.RecordBatch.from_arrays([pa.array(sets[some]), pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.int64()), pa.array(np.full(len(some), -1)), pa.array(counts[some])], names)
 
-    shuffled = rows.mapInArrow(lean(packed), "fragment int, ids array<long>, sets binary, sizes binary, refs binary, tokens binary")
-    found = exchange(shuffled, count, reduce, "key long, doc_id long, n_shingles long, own long")
-    return cut(found.groupBy("key", "doc_id", "n_shingles").agg(F.sum("own").alias("own"), F.count("*").alias("rows")))
+    shuffled = rows.mapInArrow(lean(packed), "fragment int, ids array<long>, rids binary, sets binary, sizes binary, refs binary, tokens binary")
+    found = exchange(shuffled, count, reduce, "key long, doc_id long, rid long, n_shingles long, own long")
+    return cut(found.groupBy("key", "doc_id", "rid", "n_shingles").agg(F.sum("own").alias("own"), F.count("*").alias("rows")))
 
 
 def _sifted(documents: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Rows (doc_id, text) that may be among nodes' node column: those that a filter of fixed size lets through."""
+    """Rows (rid, text) that may be among nodes' rid column: those that a filter of fixed size lets through.
+
+    Beyond some tens of millions of nodes the filter lets most rows through; it then spares less shuffle
+    but loses nothing.
+    """
     mask = (1 << FILTER_BITS) - 1
 
     def places(column):
         h = F.xxhash64(F.lit("filter"), column)
         return F.array(h.bitwiseAND(F.lit(mask)), F.shiftrightunsigned(h, FILTER_BITS).bitwiseAND(F.lit(mask)))
 
-    bits = nodes.select(F.explode(places(F.col("node"))).alias("p")).groupBy((F.col("p") / 64).cast("long").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("bits")).collect()
+    bits = nodes.select(F.explode(places(F.col("rid"))).alias("p")).groupBy((F.col("p") / 64).cast("long").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("bits")).collect()
     table = np.zeros(1 << (FILTER_BITS - 6), np.int64)
     for r in bits:
         table[r["word"]] = r["bits"]
@@ -180,15 +191,15 @@ def _sifted(documents: DataFrame, nodes: DataFrame) -> DataFrame:
         for batch in batches:
             p = batch.column("places").flatten().to_numpy().reshape(-1, 2)
             hit = ((shared.value[p >> 6] >> (p & 63)) & 1).all(axis=1)
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(hit)) for c in batch.columns[:2]], ["doc_id", "text"])
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(hit)) for c in batch.columns[:2]], ["rid", "text"])
 
-    return documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", places(F.col("doc_id").cast("long")).alias("places")).mapInArrow(lean(sift), "doc_id long, text string")
+    return _identified(documents).select("rid", "text", places(F.col("rid")).alias("places")).mapInArrow(lean(sift), "rid long, text string")
 
 
 def ordered_sets(documents: DataFrame, nodes: DataFrame, n: int, percent: int) -> DataFrame:
     """Rows (node, n, shared, prefix): each node's shingles that other nodes have too as a packed list of order << 54 | shingle, rarest first, and its prefix of these."""
     spark = documents.sparkSession
-    texts = _sifted(documents, nodes).join(nodes.select(F.col("node").alias("doc_id"), "key"), "doc_id")
+    texts = _sifted(documents, nodes).join(nodes.select("rid", "node"), "rid")
     total = nodes.agg(F.sum("n")).first()[0] or 0
     count = 1 << max(3, int(np.ceil(np.log2(max(1, total / (FRAGMENT / 2))))))
     keys, shift, width = fragment_keys(spark, count), U64(TOKEN_BITS - int(np.log2(count))), _width(count)
@@ -197,10 +208,10 @@ def ordered_sets(documents: DataFrame, nodes: DataFrame, n: int, percent: int) -
         import pyarrow as pa
 
         for batch in batches:
-            ids, sets = batch.column("doc_id").to_numpy(), batch.column("key").to_numpy()
+            ids = batch.column("node").to_numpy()
             for start, part in _parts(batch.column("text")):
                 tokens, sizes = shingles(part, n)
-                right = _set_keys(tokens, sizes) == sets[start : start + len(part)]  # an id may come with several texts
+                right = _set_keys(tokens, sizes) == ids[start : start + len(part)]  # hashes of rows may collide
                 tokens, sizes = tokens[np.repeat(right, sizes)], np.where(right, sizes, 0)
                 of = np.repeat(np.arange(len(part)), sizes)
                 order = np.argsort(tokens, kind="stable")
@@ -452,6 +463,19 @@ def similar_components(sets: DataFrame, percent: int) -> DataFrame:
     return components(links.union(found).union(together))
 
 
+def labelled_rows(documents: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """Rows (doc_id, rid, n_shingles, component, rows) of the distinct documents: the component of each one's set, null where the set is empty, and how many rows it has."""
+    found = document_sets(documents, n)
+    rows = found.where("n_shingles >= 0")
+    own = found.where("n_shingles < 0").select("key", "own")
+    sets = rows.where("n_shingles > 0").groupBy("key").agg(F.min("rid").alias("rid"), F.max("n_shingles").alias("n"))
+    sets = sets.join(own, "key", "left").withColumn("own", F.coalesce("own", F.lit(0).cast("long")))
+    nodes = cut(sets.where(100 * (F.col("n") - F.col("own")) >= percent * F.col("n")).select(F.col("key").alias("node"), "rid", "n"))
+    tied = similar_components(ordered_sets(documents, nodes, n, percent), percent)
+    out = rows.join(tied.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.when(F.col("n_shingles") > 0, F.coalesce("component", "key")))
+    return cut(out.select("doc_id", "rid", F.col("n_shingles").cast("long").alias("n_shingles"), "component", "rows"))
+
+
 def jaccard_components(documents: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id.
 
@@ -459,21 +483,42 @@ def jaccard_components(documents: DataFrame, n: int = 5, percent: int = 80) -> D
     shingles; component_id is the smallest doc_id that links reach. A document without words (or with
     null text) has an empty set and links with nothing. Equal texts link. Rows that share a doc_id are
     one document as far as links go; each row has its own n_shingles. A null doc_id reaches others but
-    names no component. Columns beside doc_id and text are not looked at; an empty table gives no rows.
+    names no component: where no other is reached, component_id is null. Columns beside doc_id and
+    text are not looked at; an empty table gives no rows.
     """
-    found = document_sets(documents, n)
-    rows = found.where("n_shingles >= 0")
-    own = found.where("n_shingles < 0").select("key", "own")
-    sets = rows.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("node"), F.max("n_shingles").alias("n"))
-    sets = cut(sets.join(own, "key", "left").withColumn("own", F.coalesce("own", F.lit(0).cast("long"))))
-    nodes = cut(sets.where((100 * (F.col("n") - F.col("own")) >= percent * F.col("n")) & F.col("node").isNotNull()).select("key", "node", "n"))
-    tied = similar_components(ordered_sets(documents, nodes, n, percent), percent)
-    labelled = rows.join(sets.select("key", "node"), "key", "left").join(tied, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    labelled = labelled_rows(documents, n, percent)
     # A doc_id with several texts ties their components.
-    several = labelled.where("component is not null and doc_id is not null").groupBy("doc_id").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("a", "b")
-    several = cut(several)
+    named = labelled.where("component is not null and doc_id is not null")
+    several = named.groupBy("doc_id").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("doc_id", "a")
+    several = cut(named.join(several, "doc_id").where("a <> component").select("a", F.col("component").alias("b")))
     if not several.isEmpty():
         joined = components(several)
         labelled = labelled.join(joined.select(F.col("node").alias("component"), F.col("component").alias("_joined")), "component", "left").withColumn("component", F.coalesce("_joined", "component"))
-    each = labelled.select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), "rows")
+        named = labelled.where("component is not null and doc_id is not null")
+    least = named.groupBy("component").agg(F.min("doc_id").alias("least"))
+    each = labelled.join(least, "component", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"), "rows")
     return each.withColumn("_row", F.explode(F.expr("sequence(1L, rows)"))).select("doc_id", "n_shingles", "component_id")
+
+
+def representatives(documents: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """Of documents, with all their columns, one row of each group of near-duplicates.
+
+    Groups are of texts: a row belongs to what links reach from its own text, whatever other texts
+    share its id. The row with the smallest doc_id stays (null ids come last), of several texts of it
+    the one with the smallest hash, of equal rows any one by a hash of the other columns. Rows without words
+    are near-duplicates of nothing; of those with one id and text one stays. An empty table gives no rows.
+    """
+    labelled = labelled_rows(documents, n, percent)
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid", "rows")
+    win = labelled.where("component is not null").groupBy("component").agg(F.min(first).alias("w")).select("w.rid", "w.rows")
+    win = cut(win.union(labelled.where("component is null").select("rid", "rows")))
+    rid, nth = fresh(documents, "_rid"), fresh(documents, "_nth")
+    rows = documents.withColumn(rid, F.xxhash64(F.col("doc_id").cast("long"), "text"))
+    once = rows.join(win.where("rows = 1").select(F.col("rid").alias(rid)), rid, "left_semi")
+    repeated = win.where("rows > 1").select(F.col("rid").alias(rid))
+    if not repeated.isEmpty():
+        plain = [c for c, kind in documents.dtypes if "map<" not in kind]
+        order = Window.partitionBy(rid).orderBy(F.xxhash64(*plain))
+        of_several = rows.join(repeated, rid, "left_semi").withColumn(nth, F.row_number().over(order)).where(F.col(nth) == 1).drop(nth)
+        once = once.unionByName(of_several)
+    return once.drop(rid)

@@ -4,9 +4,9 @@ import re
 import numpy as np
 import pytest
 
-from sparkloom.llm import jaccard_join
+from sparkloom.llm import common, jaccard_join
 from sparkloom.llm.fragments import pack, shingles, unpack
-from sparkloom.llm.jaccard_join import jaccard_components, similar_pairs
+from sparkloom.llm.jaccard_join import jaccard_components, representatives, similar_pairs
 from tests.llm import edges
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -18,10 +18,10 @@ def sets_of(text, n=5):
     return frozenset(tuple(w[k : k + n]) for k in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)] if w else [])
 
 
-def brute(rows, percent=80):
-    """(size, component) of each row; rows with an id in common are one node."""
+def groups(rows, percent=80, by_id=True):
+    """The group of each row: rows whose sets are similar and, by_id, rows with an id in common are in one."""
     sets = [sets_of(t) for _, t in rows]
-    parent = {i: i for i, _ in rows if i is not None}
+    parent = list(range(len(rows)))
 
     def root(x):
         while parent[x] != x:
@@ -30,15 +30,36 @@ def brute(rows, percent=80):
 
     for a, (i, _) in enumerate(rows):
         for b, (j, _) in enumerate(rows[:a]):
-            if i is not None and j is not None and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
-                x, y = root(i), root(j)
+            near = sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])
+            if near or (by_id and i is not None and i == j):
+                x, y = root(a), root(b)
                 parent[max(x, y)] = min(x, y)
-    return sorted((-1 if i is None else i, len(s), -1 if i is None else root(i)) for (i, _), s in zip(rows, sets, strict=True))
+    return sets, [root(k) for k in range(len(rows))]
+
+
+def brute(rows, percent=80):
+    """(id, size, component) of each row, -1 for null."""
+    sets, group = groups(rows, percent)
+    least = {}
+    for (i, _), g in zip(rows, group, strict=True):
+        if i is not None:
+            least[g] = min(i, least.get(g, i))
+    return sorted((-1 if i is None else i, len(s), least.get(g, -1)) for (i, _), s, g in zip(rows, sets, group, strict=True))
+
+
+def brute_representatives(rows, percent=80):
+    """Ids of the rows that stay, -1 for null."""
+    sets, group = groups(rows, percent, by_id=False)
+    kept = {}
+    for (i, t), s, g in zip(rows, sets, group, strict=True):
+        key = g if s else (i, t)
+        kept[key] = min((i is None, i or 0), kept.get(key, (True, 1 << 62)))
+    return sorted(-1 if none else i for none, i in kept.values())
 
 
 def run(spark, rows, **settings):
     found = jaccard_components(edges.documents(spark, rows, ("key", "node", "n", "token")), **settings).collect()
-    return sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_shingles"], -1 if r["component_id"] is None or r["doc_id"] is None else r["component_id"]) for r in found)
+    return sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_shingles"], -1 if r["component_id"] is None else r["component_id"]) for r in found)
 
 
 @pytest.mark.parametrize("seed,most_nodes", [(0, 4096), (1, 4096), (2, 0), (3, 25)])
@@ -70,6 +91,53 @@ def test_one_id_with_two_texts_ties_their_groups(spark):
     a, b = " ".join(f"a{k}" for k in range(20)), " ".join(f"b{k}" for k in range(20))
     rows = [(5, a), (5, b), (7, a), (2, b), (9, "other words here")]
     assert run(spark, rows) == brute(rows)
+    rows += [(5, " ".join(f"c{k}" for k in range(20))), (4, " ".join(f"c{k}" for k in range(20)))]
+    assert run(spark, rows) == brute(rows)
+
+
+def test_null_ids_reach_and_are_reached(spark):
+    w = [f"w{k}" for k in range(60)]
+    near = [" ".join(w[k : k + 50]) for k in (0, 3, 6)]  # neighbours are similar, the ends are not
+    rows = [(8, near[0]), (None, near[1]), (4, near[2]), (None, "quite another text of words"), (None, "quite another text of words")]
+    assert brute(rows)[-1] == (8, 46, 4)
+    assert run(spark, rows) == brute(rows)
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_representatives(spark, seed):
+    rng = random.Random(seed)
+    base = [[f"w{rng.randrange(300)}" for _ in range(40)] for _ in range(6)]
+    rows = list(edges.ROWS)
+    for _ in range(60):
+        w = list(rng.choice(base))
+        w[rng.randrange(40)] = f"x{rng.randrange(5)}"
+        rows.append((rng.choice([None, *range(100, 140)]), " ".join(w)))
+    docs = edges.documents(spark, rows, ("_rid", "_nth", "component"))
+    kept = representatives(docs)
+    assert kept.columns == docs.columns
+    assert edges.got_ids(kept.collect()) == brute_representatives(rows)
+    assert representatives(edges.documents(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("one_task", [0, 1000])
+def test_components(spark, one_task):
+    rng = random.Random(one_task)
+    pairs = [(rng.randrange(-200, 200), rng.randrange(-200, 200)) for _ in range(150)] + [(k, k + 1) for k in range(1000, 1300)] + [(7777, 7777)]
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    want = {}
+    for start in sorted(near):
+        todo = [] if start in want else [start]
+        while todo:
+            k = todo.pop()
+            if k not in want:
+                want[k] = start
+                todo += near[k]
+    found = common.components(spark.createDataFrame(pairs, "a long, b long").repartition(5), one_task=one_task).collect()
+    assert {r["node"]: r["component"] for r in found} == want and len(found) == len(want)
+    assert common.components(spark.createDataFrame([], "a long, b long"), one_task=one_task).count() == 0
 
 
 def test_shingles_and_packing():
