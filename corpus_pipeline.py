@@ -6,11 +6,10 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from sparkloom.llm import langid, toxicity
 from sparkloom.llm.common import checkpoint_dir, table
-from sparkloom.llm.jaccard_join import jaccard_components
+from sparkloom.llm.jaccard_join import representatives
 from sparkloom.llm.mixing import mixed_documents
 from sparkloom.llm.packing import pack
 from sparkloom.llm.queries import byte_bpe
@@ -27,15 +26,8 @@ def ordinary_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near-duplicates, its smallest id; of rows that repeat it, one."""
-    kept = jaccard_components(docs).where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("_least")).where("doc_id = _least").select("doc_id")
-    rest = docs.where("doc_id is null")
-    named = docs.where("doc_id is not null").dropDuplicates(["doc_id"]) if _repeats(docs) else docs.where("doc_id is not null")
-    return named.join(kept, "doc_id", "left_semi").select(docs.columns).unionByName(rest)
-
-
-def _repeats(docs: DataFrame) -> bool:
-    return not docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
+    """One document of each group of near-duplicates."""
+    return representatives(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
