@@ -1,28 +1,32 @@
 """Interpolated Kneser-Ney character models of several classes over words, kept in sorted hash arrays.
 
-A text is its words: runs of letters of the lower-cased text. A word's characters are predicted from
-up to order - 1 characters of the same word and its start, so a word's log-probability does not
-depend on its neighbours and each distinct word of a batch is scored once.
+A text is its words: runs of letters of the lower-cased text, longer runs in pieces of LONGEST. A
+word's characters are predicted from up to order - 1 characters of the same word and its start, so a
+word's log-probability does not depend on its neighbours and each distinct word is scored once.
 
-For each order the model holds the sorted 64-bit hashes of the n-grams that any class has seen, with
+For each order a model holds the sorted 64-bit hashes of the n-grams that any class has seen, with
 a column of log-probabilities per class (for a class that has not seen the n-gram, its backed-off
-value), and the sorted hashes of contexts with a column of log backoff weights per class.
+value), and the sorted hashes of contexts with a column of log backoff weights per class. In a shared
+model all orders are those of all classes together, and each class adds its own discounted counts
+of the highest order.
 """
 
 from __future__ import annotations
 
 import pickle
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: From this order on (less one) n-grams that count one are discounted wholly; they then add nothing to backing off and are not kept.
-PRUNED = 4
+from .common import lean
+
 #: Symbols for what stands before and after a word's letters.
 START, END = 1, 2
-from .common import lean
+#: Letters of the longest word; a longer run of letters is several words.
+LONGEST = 256
 
 U64 = np.uint64
 
@@ -48,13 +52,56 @@ def _letters() -> np.ndarray:
 
 @dataclass
 class Words:
-    """The distinct words of some texts: letters one after another, lengths, and of each word token its word and text."""
+    """The distinct words of some texts: letters one after another, lengths, hashes, and of each word token its word and text."""
 
     letters: np.ndarray
     lengths: np.ndarray
+    hashes: np.ndarray = field(default_factory=lambda: np.zeros(0, U64))
     word: np.ndarray = field(default_factory=lambda: np.zeros(0, int))
     text: np.ndarray = field(default_factory=lambda: np.zeros(0, int))
 
+    def take(self, rows: np.ndarray) -> Words:
+        """Some of the distinct words, without tokens."""
+        first = np.cumsum(self.lengths) - self.lengths
+        n = self.lengths[rows]
+        at = np.repeat(first[rows] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return Words(self.letters[at], n, self.hashes[rows])
+
+
+def pieces(texts: Iterable[str | None], most: int = 250_000) -> Iterator[tuple[np.ndarray, list[str]]]:
+    """Runs of pieces of texts with about so many characters each, as (each piece's text, pieces).
+
+    A longer text is cut, at a space if there is one in the last 10,000 characters of a piece, so that
+    the memory of vectorised code is bounded whatever a text's length. null is the empty text.
+    """
+    of: list[int] = []
+    held: list[str] = []
+    size = 0
+    for k, t in enumerate(texts):
+        t, at = t or "", 0
+        while True:
+            end = len(t)
+            if end - at > most:
+                space = t.rfind(" ", at + most - 10_000, at + most)
+                end = space + 1 if space >= 0 else at + most
+            of.append(k)
+            held.append(t[at:end])
+            size += end - at
+            at = end
+            if size >= most:
+                yield np.array(of), held
+                of, held, size = [], [], 0
+            if at >= len(t):
+                break
+    if held:
+        yield np.array(of), held
+
+
+def texts_of(column, step: int = 256) -> Iterator[str | None]:
+    """The values of an Arrow column of strings, of which few are Python's at a time."""
+    for k in range(0, len(column), step):
+        yield from column.slice(k, step).to_pylist()
+
 
 def words_of(texts: list[str | None]) -> Words:
     lower = [(t or "").lower() for t in texts]
@@ -66,14 +113,45 @@ def words_of(texts: list[str | None]) -> Words:
         return Words(np.zeros(0, np.uint32), np.zeros(0, int))
     text = np.searchsorted(np.cumsum([len(t) + 1 for t in lower]), starts, side="right")
     own, lengths = codes[letter], ends - starts
+    if lengths.max() > LONGEST:
+        parts = -(-lengths // LONGEST)
+        nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+        text, lengths = np.repeat(text, parts), np.minimum(np.repeat(lengths, parts) - nth * LONGEST, LONGEST)
     first = np.cumsum(lengths) - lengths
     place = np.arange(len(own)) - np.repeat(first, lengths)
     by = mix(np.arange(1, int(lengths.max()) + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)) | U64(1)
     hashes = mix(np.add.reduceat((own.astype(U64) + U64(3)) * by[place], first))
-    _, at, word = np.unique(hashes, return_index=True, return_inverse=True)
+    kinds, at, word = np.unique(hashes, return_index=True, return_inverse=True)
     n = lengths[at]
     take = np.repeat(first[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    return Words(own[take], n, word, text)
+    return Words(own[take], n, kinds, word, text)
+
+
+class WordScores:
+    """Values of distinct words, of which those scored so far are kept, up to `most` words: most words of a text have come before."""
+
+    def __init__(self, score: Callable[[Words], np.ndarray], most: int = 200_000):
+        self.score, self.most = score, most
+        self.keys, self.values = np.zeros(0, U64), None
+
+    def __call__(self, words: Words) -> np.ndarray:
+        at, hit = _find(self.keys, words.hashes)
+        if self.values is not None and hit.all():
+            return self.values[at]
+        missing = np.flatnonzero(~hit)
+        fresh = self.score(words.take(missing))
+        out = np.zeros((len(hit), *fresh.shape[1:]), fresh.dtype)
+        out[missing] = fresh
+        if self.values is not None:
+            out[hit] = self.values[at[hit]]
+        if len(self.keys) + len(missing) > self.most:
+            self.keys, self.values = words.hashes, out
+        else:
+            keys = np.concatenate([self.keys, words.hashes[missing]])
+            values = fresh if self.values is None else np.concatenate([self.values, fresh])
+            order = np.argsort(keys)
+            self.keys, self.values = keys[order], values[order]
+        return out
 
 
 def grams(words: Words, order: int) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray], np.ndarray]:
@@ -106,6 +184,12 @@ def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, table[at] == keys
 
 
+def discount_of(c: np.ndarray) -> float:
+    """Kneser-Ney's absolute discount of counts, within 0.1 and 0.95."""
+    ones, twos = (c == 1).sum(), (c == 2).sum()
+    return min(max(ones / (ones + 2 * twos) if ones + twos else 0.5, 0.1), 0.95)
+
+
 def _tables(words: Words, counts: np.ndarray, order: int) -> list[dict[str, np.ndarray]]:
     """One class's n-grams by order with Kneser-Ney counts, discounts and context totals."""
     hashes, contexts, begins, word = grams(words, order)
@@ -120,10 +204,7 @@ def _tables(words: Words, counts: np.ndarray, order: int) -> list[dict[str, np.n
             c = np.where(begin, c, np.maximum(np.bincount(inverse[longer], minlength=len(g)), 1))
         del inverse
         longer = at
-        ones, twos = (c == 1).sum(), (c == 2).sum()
-        discount = np.full(len(c), min(max(ones / (ones + 2 * twos) if ones + twos else 0.5, 0.1), 0.95))
-        if k >= PRUNED:
-            discount[c == 1] = 1.0
+        discount = discount_of(c)
         ctx, of = np.unique(context, return_inverse=True)
         total = np.bincount(of, c, len(ctx))
         less = np.minimum(c, discount)
@@ -163,23 +244,13 @@ class CharModel:
         return out, word
 
 
-def train(counted: dict[str, tuple[Words, np.ndarray]], order: int, shared_orders: int = 0) -> CharModel:
-    """A model of the classes' counted words.
-
-    Orders up to shared_orders take the counts of all classes together for every class, so that rare
-    expressions back off to the same distribution and do not tell the classes apart.
-    """
+def train(counted: dict[str, tuple[Words, np.ndarray]], order: int) -> CharModel:
+    """A model of the classes' counted words."""
     classes = sorted(counted)
     own = {c: _tables(*counted[c], order) for c in classes}
-    if shared_orders:
-        letters = np.concatenate([counted[c][0].letters for c in classes])
-        lengths = np.concatenate([counted[c][0].lengths for c in classes])
-        both = _tables(Words(letters, lengths), np.concatenate([counted[c][1] for c in classes]), shared_orders)
-        for c in classes:
-            own[c] = both + own[c][shared_orders:]
     symbols = len(np.unique(np.concatenate([own[c][0]["gram"] for c in classes]))) + 1  # and one that is not known
-    keep = []
     model = CharModel(order, classes, [], [], [], [], np.zeros(len(classes), np.float32))
+    told = []
     for k in range(order):
         tables = [own[c][k] for c in classes]
         for c in classes:
@@ -190,7 +261,6 @@ def train(counted: dict[str, tuple[Words, np.ndarray]], order: int, shared_order
         contexts = np.unique(np.concatenate([t["contexts"] for t in tables]))
         logs = np.zeros((len(union), len(classes)), np.float32)
         weights = np.zeros((len(contexts), len(classes)), np.float32)
-        useful = np.full(len(union), k < PRUNED)
         at_context = np.searchsorted(contexts, context)
         for j, t in enumerate(tables):
             weights[np.searchsorted(contexts, t["contexts"]), j] = np.log(t["weights"])
@@ -200,30 +270,79 @@ def train(counted: dict[str, tuple[Words, np.ndarray]], order: int, shared_order
                 model.floor[j] = np.log(share[0] / symbols)
             rich = np.zeros(len(union))
             rich[np.searchsorted(union, t["gram"])] = t["rich"]
-            useful |= rich > 0
             logs[:, j] = np.log(rich + share * lower)
         model.grams.append(union)
         model.logs.append(logs.astype(np.float32))
         model.contexts.append(contexts)
         model.weights.append(weights.astype(np.float32))
-        keep.append((useful, (weights < 0).any(axis=1)))
-    for k, (useful, told) in enumerate(keep):
-        model.grams[k], model.logs[k] = model.grams[k][useful], model.logs[k][useful]
-        model.contexts[k], model.weights[k] = model.contexts[k][told], model.weights[k][told]
+        told.append((weights < 0).any(axis=1))
+    for k, some in enumerate(told):
+        model.contexts[k], model.weights[k] = model.contexts[k][some], model.weights[k][some]
     return model
 
 
-def sampled(rows: DataFrame, label: str, most_chars: int, seed: int, most_docs: int = 100_000, chars: Column | None = None) -> DataFrame:
-    """About most_chars characters, and most_docs rows, of each label's whole texts, or all where a label has fewer; whether a row is drawn depends on its id alone.
+@dataclass
+class SharedModel:
+    """Classes over one shared model: p(x | h) = (max(c(hx) - d, 0) + (d n(h) + weight) q(x | h)) / (c(h) + weight).
+
+    c and n are a class's counts and kinds after the context h of the highest order, d its discount and
+    q the interpolated Kneser-Ney model of all classes' counts together. An expression that is rare in
+    a class is smoothed by what all classes count, so it hardly tells them apart. own: per class grams,
+    their discounted counts, contexts, their totals, and what each leaves to q.
+    """
+
+    base: CharModel
+    classes: list[str]
+    weight: float
+    own: list[tuple[np.ndarray, ...]]
+
+    def characters(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
+        """Log-probability by class of each predicted character of the distinct words, and each one's word."""
+        logs, word = self.base.characters(words)
+        q = np.exp(logs[:, 0].astype(float))
+        hashes, contexts, _, _ = grams(words, self.base.order)
+        out = np.zeros((len(word), len(self.classes)))
+        for j, (kinds, rich, before, total, left) in enumerate(self.own):
+            at, hit = _find(kinds, hashes[-1])
+            c = np.where(hit, rich[at] if len(rich) else 0.0, 0.0)
+            at, hit = _find(before, contexts[-1])
+            n, rest = np.where(hit, total[at] if len(total) else 0.0, 0.0), np.where(hit, left[at] if len(left) else 0.0, 0.0)
+            out[:, j] = np.log((c + (rest + self.weight) * q) / (n + self.weight))
+        return out, word
+
 
-    rows has doc_id and label, and text unless chars gives the length. This bounds what a model is
-    fitted on, whatever the input.
+def train_shared(counted: dict[str, tuple[Words, np.ndarray]], order: int, weight: float) -> SharedModel:
+    """A shared model of the classes' counted words; see SharedModel."""
+    classes = sorted(counted)
+    letters = np.concatenate([counted[c][0].letters for c in classes])
+    lengths = np.concatenate([counted[c][0].lengths for c in classes])
+    base = train({"": (Words(letters, lengths), np.concatenate([counted[c][1] for c in classes]))}, order)
+    own = []
+    for c in classes:
+        words, counts = counted[c]
+        hashes, contexts, _, word = grams(words, order)
+        kinds, at, inverse = np.unique(hashes[-1], return_index=True, return_inverse=True)
+        times = np.bincount(inverse, counts[word].astype(float), len(kinds))
+        before, of = np.unique(contexts[-1][at], return_inverse=True)
+        d = discount_of(times)
+        own.append((kinds, times - np.minimum(times, d), before, np.bincount(of, times), np.bincount(of, np.minimum(times, d))))
+    return SharedModel(base, classes, weight, own)
+
+
+def sampled(rows: DataFrame, label: str, most_chars: int, seed: int, most_docs: int = 40_000, most_total: int = 24_000_000, chars: Column | None = None) -> DataFrame:
+    """Rows (rid, label and what rows has beside doc_id): about most_chars characters, and most_docs rows, of each label, or all where a label has fewer.
+
+    rows has rid, a hash of id and text by which alone a row is drawn, label, and text unless chars
+    gives the length. Rows that are equal may all be drawn. Labels share most_total characters, so a
+    sample is bounded however many labels there are. This bounds what a model is fitted on, whatever
+    the input; nothing else is sampled.
     """
     sizes = rows.groupBy(label).agg(F.sum(F.length("text") if chars is None else chars).alias("chars"), F.count("*").alias("docs")).collect()  # a row per label
+    most = min(most_chars, most_total / max(1, len(sizes)))
     part: Column = F.lit(0.0)
     for r in sizes:
-        part = F.when(F.col(label).eqNullSafe(F.lit(r[label])), F.lit(min(1.0, most_chars / max(1, r["chars"] or 0), most_docs / r["docs"]))).otherwise(part)
-    return rows.where(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 20)) < part * (1 << 20))
+        part = F.when(F.col(label).eqNullSafe(F.lit(r[label])), F.lit(min(1.0, most / max(1, r["chars"] or 0), most_docs / r["docs"]))).otherwise(part)
+    return rows.where(F.pmod(F.xxhash64(F.lit(seed), "rid"), F.lit(1 << 20)) < part * (1 << 20))
 
 
 def counted(labels: list[str], words: list[str], counts: np.ndarray) -> dict[str, tuple[Words, np.ndarray]]:
@@ -238,8 +357,11 @@ def counted(labels: list[str], words: list[str], counts: np.ndarray) -> dict[str
     return out
 
 
-def trained(sample: DataFrame, label: str, order: int, shared_orders: int = 0) -> CharModel | None:
-    """A model of a bounded sample's words by label; None of none. One task trains it, not the driver, which gets the finished tables only."""
+def trained(sample: DataFrame, label: str, fit: Callable[[dict[str, tuple[Words, np.ndarray]]], object]):
+    """What fit makes of a bounded sample's counted words by label; None of no words. One task does it, not the driver, which gets the finished tables only.
+
+    sample has rid, label and text; rows that are equal count once.
+    """
 
     def run(batches):
         import pyarrow as pa
@@ -250,9 +372,10 @@ def trained(sample: DataFrame, label: str, order: int, shared_orders: int = 0) -
             words += batch.column(1).to_pylist()
             counts.append(batch.column(2).to_numpy())
         if labels:
-            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(counted(labels, words, np.concatenate(counts)), order, shared_orders))], pa.binary())], ["model"])
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(counted(labels, words, np.concatenate(counts))))], pa.binary())], ["model"])
 
-    words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))
-    rows = sample.select(F.col(label).cast("string").alias("label"), words.alias("word")).groupBy("label", "word").count()
+    once = sample.groupBy("rid", F.col(label).cast("string").alias("label")).agg(F.first("text").alias("text"))
+    words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(rf"\p{{L}}{{1,{LONGEST}}}"), F.lit(0)))
+    rows = once.select("label", words.alias("word")).groupBy("label", "word").count()
     got = rows.repartition(1).mapInArrow(lean(run), "model binary").collect()
     return pickle.loads(got[0]["model"]) if got else None

@@ -2,55 +2,77 @@
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .charlm import CharModel, sampled, trained, words_of
-from .common import chunks, lean
+from .charlm import CharModel, Words, WordScores, pieces, sampled, texts_of, train, trained, words_of
+from .common import lean
 
 UNKNOWN = "und"
+#: Rows of the pool that stand in each language's calibration, and costs and characters of those that stand in the pool's.
+STAND_IN, PRIOR_COST, PRIOR_CHARACTERS = 10, (2.0, 4.0), 100
 
 
 @dataclass
 class LanguageModel:
-    """bounds: by language, mean and standard deviation of the cross-entropy of calibration texts, and the variance of one character's."""
+    """bounds: by language, mean and standard deviation of the cross-entropy of calibration texts, and the variance of one character's.
+
+    evidence: characters' worth of cross-entropy that the confidence counts at most, as neighbouring
+    characters are not independent evidence.
+    """
 
     model: CharModel | None
     bounds: np.ndarray | None = None
     limit: float = 6.0
-
-    def score(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    evidence: int = 40
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "_by_word"}
+
+    @functools.cached_property
+    def _by_word(self) -> WordScores:
+        def total(words: Words) -> np.ndarray:
+            logs, word = self.model.characters(words)
+            return np.add.reduceat(logs.astype(float), np.flatnonzero(np.diff(word, prepend=-1)), axis=0)
+
+        return WordScores(total)
+
+    def costs(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """Of each text: cross-entropy by language in nats a character, and how many characters it has."""
+        total: list[np.ndarray] = []
+        characters: list[float] = []
+        classes = len(self.model.classes)
+        for of, part in pieces(texts):
+            words = words_of(part)
+            while len(total) <= of[-1]:
+                total.append(np.zeros(classes))
+                characters.append(0.0)
+            if len(words.lengths):
+                by_word, n = self._by_word(words), np.bincount(words.text, (words.lengths + 1)[words.word], len(part))
+                sums = np.stack([np.bincount(words.text, by_word[words.word, k], len(part)) for k in range(classes)], axis=1)
+                for i, k in enumerate(of):
+                    total[k] = total[k] + sums[i]
+                    characters[k] += n[i]
+        n = np.array(characters)
+        return -np.array(total).reshape(-1, classes) / np.maximum(n, 1)[:, None], n
+
+    def score(self, texts) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
         """Of each text: language, confidence 0 to 1, cross-entropy in nats a character, and whether it is accepted."""
-        lang, sure, cost, fine = [], [], [], []
-        for _, part in chunks(t or "" for t in texts):
-            a, b, c, d = self._score(part)
-            lang += a
-            sure.append(b)
-            cost.append(c)
-            fine.append(d)
-        empty = [np.zeros(0)]
-        return lang, np.concatenate(sure or empty), np.concatenate(cost or empty), np.concatenate(fine or [np.zeros(0, bool)])
-
-    def _score(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-        words = words_of(texts)
-        n = len(texts)
-        if self.model is None or not len(words.lengths):
+        if self.model is None:
+            n = sum(1 for _ in texts)
             return [UNKNOWN] * n, np.zeros(n), np.zeros(n), np.zeros(n, bool)
-        logs, word = self.model.characters(words)
-        by_word = np.add.reduceat(logs.astype(float), np.flatnonzero(np.diff(word, prepend=-1)), axis=0)
-        characters = np.bincount(words.text, (words.lengths + 1)[words.word], n)
-        total = np.stack([np.bincount(words.text, by_word[words.word, k], n) for k in range(by_word.shape[1])], axis=1)
-        cost = -total / np.maximum(characters, 1)[:, None]
+        cost, characters = self.costs(texts)
+        if not len(cost):
+            return [], np.zeros(0), np.zeros(0), np.zeros(0, bool)
         best = cost.argmin(axis=1)
-        gap = -(cost - cost.min(axis=1, keepdims=True)) * np.minimum(characters, 40)[:, None]
-        sure = np.exp(gap)
-        sure = 1 / sure.sum(axis=1)
-        least = cost[np.arange(n), best]
+        least = cost[np.arange(len(cost)), best]
+        sure = 1 / np.exp((least[:, None] - cost) * np.minimum(characters, self.evidence)[:, None]).sum(axis=1)
         some = characters > 0
-        fine = some & (self.deviation(best, least, characters) <= self.limit) if self.bounds is not None else some
+        fine = some & (self.deviation(best, least, characters) <= self.limit)
         lang = [self.model.classes[k] if ok else UNKNOWN for k, ok in zip(best, some, strict=True)]
         return lang, np.where(some, sure, 0.0), np.where(some, least, 0.0), fine
 
@@ -59,44 +81,63 @@ class LanguageModel:
         return (cost - mean) / np.sqrt(spread**2 + noise / np.maximum(characters, 1))
 
 
-def fit(learn: DataFrame, *, order: int = 5, most_chars: int = 3_000_000, most_calibration: int = 1_500_000, alpha: float = 0.001, seed: int = 2) -> LanguageModel:
-    """A model of learn's (doc_id, text, lang) rows; rows without text or lang are not used.
+def calibrate(out: LanguageModel, lang: np.ndarray, cost: np.ndarray, characters: np.ndarray, alpha: float) -> None:
+    """Sets bounds and limit from texts of known language (as a class) and their cost under its model.
 
-    The character models are fitted on up to most_chars characters of each language and rejection is
-    calibrated on up to most_calibration others: the limit on the standardised cross-entropy is what
-    all but a share alpha of them keep to, and 6 at least. No rows give a model that knows nothing.
+    Ten rows of the pool of all languages, spread evenly by cost, stand beside each language's own, and
+    ten of fixed cost beside the pool's, so that languages with few or no rows are judged by the others.
     """
-    rows = learn.where("text is not null and lang is not null and doc_id is not null").select("doc_id", "text", "lang")
-    held = F.pmod(F.xxhash64(F.lit("calibrate"), "doc_id"), F.lit(5)) == 0
-    model = trained(sampled(rows.where(~held), "lang", most_chars, seed), "lang", order)
+    pool = np.concatenate([cost, np.linspace(*PRIOR_COST, STAND_IN)])
+    size = np.concatenate([characters, np.full(STAND_IN, PRIOR_CHARACTERS)])
+    spread = np.argsort(pool, kind="stable")[np.linspace(0, len(pool) - 1, STAND_IN + 2).astype(int)[1:-1]]
+    out.bounds = np.zeros((len(out.model.classes), 3))
+    for k in range(len(out.bounds)):
+        own = np.concatenate([np.flatnonzero(lang == k), spread])
+        c, n = pool[own], size[own]
+        mean = np.median(c)
+        out.bounds[k] = mean, max(0.02, float(np.std(c[n >= np.median(n)]))), max(1.0, float(np.mean((c - mean) ** 2 * np.minimum(n, 200))))
+    if len(cost):
+        out.limit = max(6.0, 1.25 * float(np.quantile(out.deviation(lang, cost, characters), 1 - alpha)))
+
+
+def fit(learn: DataFrame, *, order: int = 5, most_chars: int = 3_000_000, most_total: int = 24_000_000, most_calibration: int = 1_500_000, alpha: float = 0.001, evidence: int = 40, seed: int = 2) -> LanguageModel:
+    """A model of learn's (doc_id, text, lang) rows; rows without text or lang are not used, equal rows count once.
+
+    The character models are fitted on up to most_chars characters of each language, of all languages
+    together most_total at most. Rejection is calibrated with models of one half of the rows on up to
+    most_calibration characters of each language in the other: the limit on the standardised
+    cross-entropy is 1.25 times what all but a share alpha of them keep to, and 6 at least. No rows
+    give a model that knows nothing.
+    """
+    rows = learn.where("text is not null and lang is not null").select(F.xxhash64("doc_id", "text").alias("rid"), "text", "lang")
+    half = F.pmod(F.xxhash64(F.lit("half"), "rid"), F.lit(2)) == 0
+    train_on = functools.partial(train, order=order)
+    model = trained(sampled(rows, "lang", most_chars, seed, most_total=most_total), "lang", train_on)
     if model is None:
         return LanguageModel(None)
-    out = LanguageModel(model)
-    shared = rows.sparkSession.sparkContext.broadcast(out)
+    out = LanguageModel(model, evidence=evidence)
+    first = trained(sampled(rows.where(half), "lang", most_chars, seed, most_total=most_total), "lang", train_on)
+    nothing = np.zeros(0)
+    if first is None:
+        calibrate(out, nothing, nothing, nothing, alpha)
+        return out
+    shared = rows.sparkSession.sparkContext.broadcast(LanguageModel(first))
 
     def measure(batches):
         import pyarrow as pa
 
+        place = {c: k for k, c in enumerate(first.classes)}
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            lang, _, cost, _ = shared.value.score(texts)
-            yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(cost), pa.array([sum(map(str.isalpha, t)) + 1 for t in texts], pa.int64())], ["lang", "cost", "characters"])
-
-    got = sampled(rows.where(held), "lang", most_calibration, seed + 1).select("text").mapInArrow(lean(measure), "lang string, cost double, characters long").toArrow()
-    if got.num_rows < 20:
-        return out
-    lang, cost, characters = got.column("lang").to_pylist(), got.column("cost").to_numpy(), got.column("characters").to_numpy()
-    best = np.array([out.model.classes.index(x) if x != UNKNOWN else -1 for x in lang])
-    bounds = np.zeros((len(out.model.classes), 3))
-    for k in range(len(bounds)):
-        own = (best == k) & (characters >= 20)
-        own = own if own.sum() >= 10 else best >= 0
-        mean = np.median(cost[own])
-        long = own & (characters >= np.median(characters[own]))
-        bounds[k] = mean, max(0.02, float(np.std(cost[long]))), max(1.0, float(np.mean((cost[own] - mean) ** 2 * np.minimum(characters[own], 200))))
-    out.bounds = bounds
-    known = best >= 0
-    out.limit = max(6.0, 1.25 * float(np.quantile(out.deviation(best[known], cost[known], characters[known]), 1 - alpha)))
+            cost, n = shared.value.costs(texts_of(batch.column(0)))
+            own = np.array([place.get(x, -1) for x in batch.column(1).to_pylist()])
+            some = np.flatnonzero((own >= 0) & (n > 0))
+            yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(some)), pa.array(cost[some, own[some]]), pa.array(n[some])], ["lang", "cost", "characters"])
+
+    held = sampled(rows.where(~half), "lang", most_calibration, seed + 1, most_total=most_total)
+    got = held.select("text", F.col("lang").cast("string").alias("lang")).mapInArrow(lean(measure), "lang string, cost double, characters double").toArrow()
+    shared.destroy()
+    at = {c: k for k, c in enumerate(model.classes)}
+    calibrate(out, np.array([at[x] for x in got.column("lang").to_pylist()], int), got.column("cost").to_numpy(), got.column("characters").to_numpy(), alpha)
     return out
 
 
@@ -104,7 +145,8 @@ def predict(documents: DataFrame, model: LanguageModel, extra: dict | None = Non
     """doc_id, held_out, lang_pred, score, cross_entropy, accepted of every document row, from its text alone.
 
     extra: named columns to carry. A null text and one without letters are `und`, score 0 and not
-    accepted. Equal texts have equal results. No rows give no rows.
+    accepted. Of languages with equal cross-entropy the first by name is taken. Equal texts have equal
+    results. No rows give no rows.
     """
     extra = extra or {}
     shared = documents.sparkSession.sparkContext.broadcast(model)
@@ -113,7 +155,7 @@ def predict(documents: DataFrame, model: LanguageModel, extra: dict | None = Non
         import pyarrow as pa
 
         for batch in batches:
-            lang, sure, cost, fine = shared.value.score(batch.column(batch.num_columns - 1).to_pylist())
+            lang, sure, cost, fine = shared.value.score(texts_of(batch.column(batch.num_columns - 1)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(lang, pa.string()), pa.array(sure, pa.float64()), pa.array(cost, pa.float64()), pa.array(fine, pa.bool_())], [*batch.schema.names[:-1], "lang_pred", "score", "cross_entropy", "accepted"])
 
     rows = documents.select("doc_id", *[c.alias(k) for k, c in extra.items()], "text")
@@ -122,7 +164,11 @@ def predict(documents: DataFrame, model: LanguageModel, extra: dict | None = Non
 
 
 def accepted(documents: DataFrame, model: LanguageModel) -> DataFrame:
-    """The rows of documents whose language is accepted, with all their columns."""
+    """The rows of documents whose language is accepted, with all their columns, whatever these are called.
+
+    A null text and one without letters are rejected, equal texts stay or go together, repeated rows
+    stay repeated. No rows give no rows.
+    """
     at = documents.columns.index("text")
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
@@ -130,6 +176,6 @@ def accepted(documents: DataFrame, model: LanguageModel) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            yield batch.filter(pa.array(shared.value.score(batch.column(at).to_pylist())[3], pa.bool_()))
+            yield batch.filter(pa.array(shared.value.score(texts_of(batch.column(at)))[3], pa.bool_()))
 
     return documents.mapInArrow(lean(keep), documents.schema)

@@ -1,10 +1,11 @@
 import random
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 
 from sparkloom.llm import langid, toxicity
-from sparkloom.llm.charlm import Words, train, words_of
+from sparkloom.llm.charlm import Words, pieces, train, train_shared, words_of
 from tests.llm import edges
 
 SYLLABLES = {"aa": ["ka", "lo", "mi", "tun", "per"], "bb": ["sch", "ei", "ung", "ber", "zu"], "cc": ["oux", "elle", "tion", "é", "que"]}
@@ -15,8 +16,7 @@ def prose(rng, lang, n):
 
 
 def counted(words):
-    w = words_of([" ".join(words)])
-    return w, np.bincount(w.word, minlength=len(w.lengths))
+    return learned(Counter(words))
 
 
 def test_probabilities_after_a_context_sum_to_one():
@@ -30,13 +30,106 @@ def test_probabilities_after_a_context_sum_to_one():
         assert np.allclose(total, 1, atol=1e-3)
 
 
-@pytest.mark.parametrize("order", [2, 5, 7])
-def test_pruned_tables_back_off_to_the_same_values(order):
-    rng = random.Random(order)
-    words = [prose(rng, "aa", 1) for _ in range(300)]
-    model = train({"a": counted(words), "b": counted(words[:40])}, order)
-    logs, _ = model.characters(words_of([" ".join(words)]))
-    assert np.isfinite(logs).all() and (logs < 1e-5).all()
+class Plain:
+    """Interpolated Kneser-Ney by its definition, in dictionaries; words with their counts, a context's symbols one by one."""
+
+    def __init__(self, words, order, symbols):
+        self.order, self.symbols = order, symbols
+        self.counts = [defaultdict(float) for _ in range(order + 1)]
+        before = [defaultdict(set) for _ in range(order + 2)]
+        for word, n in words.items():
+            s = ["^"] * (order - 1) + list(word) + ["$"]
+            for at in range(order - 1, len(s)):
+                for k in range(1, order + 1):
+                    gram = tuple(s[at + 1 - k : at + 1])
+                    self.counts[k][gram] += n
+                    before[k][gram[1:]].add(gram[0])
+        for k in range(1, order):
+            for gram in self.counts[k]:
+                if gram[0] != "^":
+                    self.counts[k][gram] = len(before[k + 1][gram])
+        self.discount, self.total, self.kinds = [0.0], [None], [None]
+        for k in range(1, order + 1):
+            ones, twos = (sum(c == n for c in self.counts[k].values()) for n in (1, 2))
+            self.discount.append(min(max(ones / (ones + 2 * twos) if ones + twos else 0.5, 0.1), 0.95))
+            self.total.append(Counter())
+            self.kinds.append(Counter())
+            for gram, c in self.counts[k].items():
+                self.total[k][gram[:-1]] += c
+                self.kinds[k][gram[:-1]] += 1
+
+    def p(self, gram, k=None):
+        k = self.order if k is None else k
+        if not k:
+            return 1 / self.symbols
+        gram = gram[-k:]
+        total, lower = self.total[k][gram[:-1]], self.p(gram, k - 1)
+        if not total:
+            return lower
+        return (max(self.counts[k].get(gram, 0) - self.discount[k], 0) + self.discount[k] * self.kinds[k][gram[:-1]] * lower) / total
+
+    def word(self, word):
+        s = ["^"] * (self.order - 1) + list(word) + ["$"]
+        return [self.p(tuple(s[at + 1 - self.order : at + 1])) for at in range(self.order - 1, len(s))]
+
+
+def some_words(seed, n=400):
+    rng = random.Random(seed)
+    return {lang: Counter(prose(rng, lang, 1) for _ in range(n // (k + 1))) for k, lang in enumerate(("aa", "bb"))}, [prose(rng, lang, 1) for lang in SYLLABLES for _ in range(30)] + ["z", "kzq", "éé"]
+
+
+def learned(words):
+    w = words_of([" ".join(w for w, n in words.items() for _ in range(n))])
+    return w, np.bincount(w.word, minlength=len(w.lengths))
+
+
+def logs_of(model, word):
+    return model.characters(Words(np.frombuffer(word.encode("utf-32-le"), "<u4"), np.array([len(word)])))[0]
+
+
+@pytest.mark.parametrize("order", [1, 2, 4, 7])
+def test_equals_kneser_ney_by_definition(order):
+    words, asked = some_words(order)
+    model = train({k: learned(v) for k, v in words.items()}, order)
+    symbols = len({c for v in words.values() for w in v for c in w}) + 2
+    for j, lang in enumerate(("aa", "bb")):
+        plain = Plain(words[lang], order, symbols)
+        for word in asked:
+            assert np.allclose(logs_of(model, word)[:, j], np.log(plain.word(word)), atol=1e-4), word
+
+
+@pytest.mark.parametrize("order,weight", [(1, 3.0), (4, 60.0), (6, 1.0)])
+def test_shared_model_equals_its_definition(order, weight):
+    words, asked = some_words(order)
+    model = train_shared({k: learned(v) for k, v in words.items()}, order, weight)
+    symbols = len({c for v in words.values() for w in v for c in w}) + 2
+    base = Plain(words["aa"] + words["bb"], order, symbols)
+    for j, lang in enumerate(("aa", "bb")):
+        own = Plain(words[lang], order, symbols)
+        for word in asked:
+            s = ["^"] * (order - 1) + list(word) + ["$"]
+            want = []
+            for at, q in zip(range(order - 1, len(s)), base.word(word), strict=True):
+                gram = tuple(s[at + 1 - order : at + 1])
+                d = own.discount[order]
+                want.append((max(own.counts[order].get(gram, 0) - d, 0) + (d * own.kinds[order][gram[:-1]] + weight) * q) / (own.total[order][gram[:-1]] + weight))
+            assert np.allclose(logs_of(model, word)[:, j], np.log(want), atol=1e-4), word
+
+
+def test_pieces_of_long_texts_give_the_same_sums():
+    words, _ = some_words(3)
+    model = langid.LanguageModel(train({k: learned(v) for k, v in words.items()}, 4))
+    rng = random.Random(4)
+    texts = [prose(rng, "aa", 60_000), None, "", prose(rng, "bb", 10), "x" * 1_000_000, "\0" * 300_000 + "ka\0lo", " " * 600_000]
+    assert "".join(p for of, part in pieces(texts) for k, p in zip(of, part, strict=True) if k == 0) == texts[0]
+    cost, n = model.costs(texts)
+    assert n.tolist()[1:4] == [0, 0, len(texts[3].replace(" ", "")) + 10] and n[5] == 6 and n[6] == 0
+    # 250,000 characters a piece, and longest words of 256 letters in it
+    assert n[4] == 1_000_000 + 4 * -(-250_000 // 256)
+    whole = words_of([texts[0]])
+    logs, word = model.model.characters(whole)
+    per = np.add.reduceat(logs.astype(float), np.flatnonzero(np.diff(word, prepend=-1)), axis=0)
+    assert np.allclose(cost[0], -per[whole.word].sum(axis=0) / n[0], atol=1e-6)
 
 
 def test_language_id(spark):
@@ -52,6 +145,14 @@ def test_language_id(spark):
     assert langid.accepted(df, model).columns == df.columns
 
 
+def test_few_documents_of_many_languages(spark):
+    rng = random.Random(7)
+    rows = [(i, prose(rng, lang, 30), lang) for i, lang in enumerate(["aa", "bb", "cc"])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = langid.predict(df, langid.fit(df, order=3)).collect()
+    assert all(r["lang_pred"] == rows[r["doc_id"]][2] and r["accepted"] for r in found)
+
+
 def test_language_id_edges(spark):
     docs = edges.documents(spark)
     model = langid.fit(docs.select("doc_id", "text", "lang"))
