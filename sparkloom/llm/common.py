@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Iterable
 
@@ -22,10 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> None:
-    """Uses spark.checkpoint.dir; a folder of its own only where none is set, as in tests."""
+    """Uses spark.checkpoint.dir; a folder of its own only where none is set and executors are threads of this process, as in tests."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loom-checkpoints-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir is not set: a cluster needs a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="loom-checkpoints-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -66,6 +70,34 @@ def running_sum(df: DataFrame, group: list[str], bucket: str, order: list[Column
     return out.drop("_base")
 
 
+def placed(df: DataFrame, group: list[str], identity: list[str], value: Column, start: str, per_bucket: int = 50_000, run: int = 1 << 16) -> DataFrame:
+    """Each row's group and identity columns, and in start the exclusive running sum of value, an expression of the identity, within the group.
+
+    Rows are ordered by a hash of their identity and then the identity, so the order is the same in
+    every run. Rows with one identity are counted before anything is sorted and written out again
+    afterwards, in several tasks where they are many; they take neighbouring places. A group is cut into
+    buckets by its number of different rows, so neither a hot group nor a hot row is one task's work.
+    Identities may hold nulls, groups may not.
+    """
+    kinds = cut(df.groupBy(*group, *identity).agg(F.count("*").alias("_rows")).withColumn("_value", value.cast("long")))
+    sizes = cut(kinds.groupBy(*group).agg(F.greatest(F.lit(1), F.ceil(F.count("*") / F.lit(per_bucket))).cast("int").alias("_buckets"), F.max("_rows").alias("_most")))
+    small = sizes.count() <= SMALL_ROWS
+    kinds = kinds.join(F.broadcast(sizes) if small else sizes, group)
+    kinds = kinds.withColumn("_bucket", F.pmod(F.xxhash64(F.lit("place"), *identity), F.col("_buckets")).cast("int")).withColumn("_sum", F.col("_value") * F.col("_rows"))
+    order = [F.xxhash64(F.lit("order"), *identity), *identity]
+    found = running_sum(kinds.drop("_buckets", "_most"), group, "_bucket", order, "_sum", start)
+
+    def copies(rows: DataFrame, numbers: str) -> DataFrame:
+        return rows.withColumn("_copy", F.explode(F.expr(numbers))).select(*group, *identity, (F.col(start) + F.col("_copy") * F.col("_value")).alias(start))
+
+    if (sizes.agg(F.max("_most")).first()[0] or 0) <= run:
+        return copies(found, "sequence(0L, _rows - 1)")
+    found = cut(found)
+    many = found.where(F.col("_rows") > run).withColumn("_run", F.explode(F.expr(f"sequence(0L, (_rows - 1) div {run})")))
+    many = many.repartition(F.col("_run"), *identity)
+    return copies(found.where(F.col("_rows") <= run), "sequence(0L, _rows - 1)").unionByName(copies(many, f"sequence(_run * {run}, least(_rows, (_run + 1) * {run}) - 1)"))
+
+
 def join_small(big: DataFrame, small: DataFrame, key: str, how: str = "inner", salts: int = 64) -> DataFrame:
     """Joins a table that is meant to be small (and is cut already) on one key that may be hot.
 
