@@ -15,7 +15,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import running_sum
+from .common import placed
 
 UNIT = float(1 << 53)
 
@@ -68,17 +68,16 @@ def descend(df: DataFrame, key: str, tree: list[Leaf], out: str, seed: int = 5)
     return df.withColumn(out, _choose(F.col("_region"), shard)).drop("_region", "_rack")
 
 
-def shard_documents(documents: DataFrame, tree: list[Leaf], grown: list[Leaf], seed: int = 5, buckets: int = 1024) -> DataFrame:
+def shard_documents(documents: DataFrame, tree: list[Leaf], grown: list[Leaf], seed: int = 5) -> DataFrame:
     """One row per input row: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
     size is the text's UTF-8 bytes plus 8; a null text has no bytes, size 8 and checksum 0. Rows with
     equal ids go to one shard; a null id is a key like any other. Slots count a shard's rows from 0
-    without gaps, by hash bucket, id, checksum and size; wholly equal rows take neighbouring slots in
-    either order. Other columns of the input are not looked at. An empty table gives no rows.
+    without gaps, by a hash of id, checksum and size; wholly equal rows take neighbouring slots.
+    Other columns of the input are not looked at. An empty table gives no rows.
     """
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     rows = documents.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
     rows = descend(descend(rows, "doc_id", tree, "shard", seed), "doc_id", grown, "grown_shard", seed)
-    rows = rows.withColumn("_bucket", F.pmod(F.xxhash64(F.lit("slot"), "doc_id"), F.lit(buckets)).cast("int")).withColumn("_one", F.lit(1).cast("long"))
-    rows = running_sum(rows, ["shard"], "_bucket", ["doc_id", "text_crc32", "size"], "_one", "slot")
+    rows = placed(rows, ["shard"], ["doc_id", "text_crc32", "size", "grown_shard"], F.lit(1), "slot")
     return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")

@@ -1,5 +1,9 @@
+import math
+import zlib
 from collections import Counter, defaultdict
 
+import xxhash
+
 from sparkloom.llm.sharding import Leaf, descend, layout, shard_documents
 from tests.llm import edges
 
@@ -13,9 +17,40 @@ def test_edges(spark):
     assert shard_documents(edges.documents(spark, []), layout(24), layout(25)).count() == 0
 
 
+def spark_hash(*values):
+    """What xxhash64 of a string and a long, or a null, gives: each value is hashed with the hash so far as seed."""
+    seed = 42
+    for v in values:
+        if v is not None:
+            seed = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else v.to_bytes(8, "little", signed=True), seed)
+    return seed
+
+
+def brute(key, tree, seed=5):
+    """The leaf that key falls to, by weighted draws level by level."""
+    path = ()
+    for level in range(3):
+        children = defaultdict(float)
+        for leaf in tree:
+            if leaf[:level] == path:
+                children[leaf[: level + 1]] += leaf.weight
+        draw = {c: -math.log(((spark_hash(f"{seed}/{'/'.join(map(str, c))}", key) >> 11) + 0.5) / 2**53) / w for c, w in children.items() if w > 0}
+        path = min(draw, key=lambda c: (draw[c], c[-1]))
+    return path[2]
+
+
+def test_equals_brute_force(spark):
+    found = shard_documents(edges.documents(spark, edges.ROWS + [(k, "more") for k in range(100, 400)]), layout(24), layout(25)).collect()
+    text = {i: t or "" for i, t in edges.ROWS}
+    for r in found:
+        data = text.get(r["doc_id"], "more").encode()
+        assert (r["size"], r["text_crc32"]) == (len(data) + 8, zlib.crc32(data))
+        assert (r["shard"], r["grown_shard"]) == (brute(r["doc_id"], layout(24)), brute(r["doc_id"], layout(25)))
+
+
 def test_slots_are_gapless_and_growth_takes_into_itself(spark):
     rows = [(i, f"text {i}") for i in range(6000)] + [(7, "again")] * 3
-    found = shard_documents(edges.documents(spark, rows), layout(24), layout(25), buckets=16).collect()
+    found = shard_documents(edges.documents(spark, rows), layout(24), layout(25)).collect()
     slots = defaultdict(list)
     for r in found:
         slots[r["shard"]].append(r["slot"])
