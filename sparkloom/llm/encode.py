@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 
 import numpy as np
 
@@ -36,6 +37,32 @@ def encoder(path: str):
     return tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
+#: Long runs of what the pattern takes for whitespace.
+RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{1000,}")
+
+
+def _in_parts(enc, text: str) -> np.ndarray:
+    """Ids of a text with runs of whitespace that are too long for the pattern's matcher.
+
+    By the pattern such a run is one piece, but for its last character where text follows that is no
+    special token; what stands between runs does not depend on them.
+    """
+    out, at = [], 0
+    for m in RUN.finditer(text):
+        end = m.end()
+        if end < len(text) and not any(text.startswith(s, end) for s in enc.special_tokens_set):
+            end -= 1
+        out.append(enc.encode_to_numpy(text[at : m.start()], allowed_special="all"))
+        out.append(np.array(enc._encode_single_piece(text[m.start() : end].encode()), dtype="<u4"))
+        at = end
+    out.append(enc.encode_to_numpy(text[at:], allowed_special="all"))
+    return np.concatenate(out)
+
+
 def ids(path: str, text: str | None) -> np.ndarray:
-    """Ids of a whole text as unsigned 32-bit integers; none for a null or empty text."""
-    return np.asarray(encoder(path).encode(text or "", allowed_special="all"), dtype="<u4")
+    """Ids of a whole text, of any length, as unsigned 32-bit integers; none for a null or empty text."""
+    enc = encoder(path)
+    try:
+        return enc.encode_to_numpy(text or "", allowed_special="all").astype("<u4", copy=False)
+    except ValueError:
+        return _in_parts(enc, text).astype("<u4", copy=False)

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, lean, running_sum
+from .common import cut, lean, placed
 from .encode import ids
 
 
@@ -191,7 +191,7 @@ def pieces(documents: DataFrame, tokenizer: str, room: int, end: int) -> DataFra
     return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(cut_up), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def pack(documents: DataFrame, tokenizer: str, room: int = 1024, end: int = 2, groups: int = 64, buckets: int = 256) -> DataFrame:
+def pack(documents: DataFrame, tokenizer: str, room: int = 1024, end: int = 2, groups: int = 64) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A null or empty text is the end id alone. Equal rows are packed separately and a null id is an
@@ -202,8 +202,7 @@ def pack(documents: DataFrame, tokenizer: str, room: int = 1024, end: int = 2, g
     for r in rows.groupBy("length").count().collect():  # room rows at most
         histogram[r["length"]] = r["count"]
     runs = best_plan(histogram, room, groups)
-    ranked = rows.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int")).withColumn("_one", F.lit(1).cast("long"))
-    ranked = running_sum(ranked, ["length"], "_bucket", ["doc_id", "piece", "ids_crc32", "start"], "_one", "_rank")
+    ranked = placed(rows, ["length"], ["doc_id", "piece", "ids_crc32", "start"], F.lit(1), "_rank")
 
     def place(batches):
         import pyarrow as pa

@@ -67,7 +67,11 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import length_histogram, limits
 
-    return limits(length_histogram(table(spark, sf_dir, "documents"), byte_bpe()))
+    return limits(length_histogram(table(spark, sf_dir, "documents"), byte_bpe()), CONTEXT_LIMITS)
+
+
+#: Context limits of which the answer is wanted whether a document has that length or not.
+CONTEXT_LIMITS = tuple(1 << k for k in range(7, 21))
 
 
 def op9_linear_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,6 +18,51 @@ def test_ids_are_those_of_tokenizers():
         assert ids(byte_bpe(), text).tolist() == t.encode(text, add_special_tokens=False).ids
 
 
+def test_long_runs_of_whitespace():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(byte_bpe())
+    run = 800_000
+    for text in (" " * run + "a b", "x" + " \n" * (run // 2), "\n" * run + "<|endoftext|>" + "\u3000" * 2000 + "b", "a" + "\t" * run + "<|endoftext" + " " * 5000):
+        assert ids(byte_bpe(), text).tolist() == t.encode(text, add_special_tokens=False).ids
+    assert len(ids(byte_bpe(), " " * 10_000_000 + "a")) == 10_000_000
+    assert len(ids(byte_bpe(), "x" * 10_000_000)) > 0
+
+
+def fewest(lengths, room):
+    """The least number of sequences, by trying every place for each length, longest first."""
+    lengths = sorted(lengths, reverse=True)
+    best = len(lengths)
+
+    def place(k, free):
+        nonlocal best
+        if len(free) >= best:
+            return
+        if k == len(lengths):
+            best = len(free)
+            return
+        for n in sorted(set(free)):
+            if n >= lengths[k]:
+                rest = list(free)
+                rest[rest.index(n)] -= lengths[k]
+                place(k + 1, rest)
+        place(k + 1, [*free, room - lengths[k]])
+
+    place(0, [])
+    return best
+
+
+def test_plans_against_the_optimum():
+    rng = np.random.default_rng(1)
+    more = 0
+    for _ in range(60):
+        lengths = rng.integers(1, 33, rng.integers(1, 13)).tolist()
+        got, least = sequences(best_plan(np.bincount(lengths, minlength=33), 32, 8)), fewest(lengths, 32)
+        assert least <= got <= least + 1
+        more += got - least
+    assert more <= 6
+
+
 @pytest.mark.parametrize("small", [8, 16, 32, 63])
 def test_plans_place_every_length_once(small):
     rng = np.random.default_rng(small)
@@ -49,7 +94,7 @@ def test_plan_is_near_the_bound():
 
 
 def test_edges_and_round_trip(spark):
-    found = [r.asDict() for r in pack(edges.documents(spark), byte_bpe(), buckets=4).collect()]
+    found = [r.asDict() for r in pack(edges.documents(spark), byte_bpe()).collect()]
     rows = {}
     for r in found:
         rows.setdefault(r["doc_id"], []).append(r)
