@@ -4,11 +4,12 @@ Cosine c of two vectors is a distance sqrt(2 - 2c) of their unit vectors. Pivots
 the vectors, partition the space: every vector is at home in the cell of its nearest pivot. A vector x
 may have partners y at home in another cell q only if d(x, q) <= radius(q) + r and, as y is nearer to
 q than to x's own pivot p, d(x, q) <= d(x, p) + 2r (triangle inequality, r the joined range); it is
-replicated to the cells where both hold. Each cell then finds all partners of its home vectors by
-itself. Cells are cut into blocks of bounded size, so that a crowded cell is many tasks' work.
+replicated to the cells where both hold. Of two cells one, fixed by their numbers, joins the pairs
+between them, so a vector goes to half of these cells. Each cell joins by itself. Cells are cut into
+blocks of a bounded number of components, so that a crowded cell is many tasks' work.
 
 Equal vectors are one class with a count, so copies are never expanded into pairs. A block returns
-counts per home vector and a spanning forest of its links, not the links.
+counts per vector and a spanning forest of its links, not the links.
 """
 
 from __future__ import annotations
@@ -52,7 +53,13 @@ def forest(near: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def link_embeddings(embeddings: DataFrame, cosine: float = 0.9, pivots: int | None = None, block: int = 2048, seed: int = 7) -> DataFrame:
+def joins(p: int, q: int, cells: int) -> bool:
+    """Whether cell p, and not q, joins the pairs between them; every cell does so for about half of the others."""
+    ahead = (q - p) % cells
+    return 2 * ahead < cells if 2 * ahead != cells else p < q
+
+
+def link_embeddings(embeddings: DataFrame, cosine: float = 0.9, pivots: int | None = None, home_block: int | None = None, member_block: int | None = None, seed: int = 7) -> DataFrame:
     """One row per input row: vec_id, n_links, component_id, kept.
 
     Rows whose vector is null, empty, zero or holds null or non-finite components link with nothing
@@ -72,7 +79,7 @@ def link_embeddings(embeddings: DataFrame, cosine: float = 0.9, pivots: int | No
     classes = cut(marked.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("class_id"), F.count("*").alias("n")).withColumn("key", F.xxhash64("v")).withColumn("dim", F.size("v")))
     reach = float(np.sqrt(2 - 2 * cosine))
     if pivots is None:  # finer cells for more vectors
-        pivots = min(4096, max(32, classes.count() // 5000))
+        pivots = min(4096, max(12, classes.count() // 4096))
     # At most `pivots` rows come to the driver, whatever the input.
     sample = classes.orderBy(F.xxhash64(F.lit(seed), "key"), "key").limit(pivots).select("v").collect()
     by_dim: dict[int, list] = {}
@@ -99,14 +106,17 @@ def link_embeddings(embeddings: DataFrame, cosine: float = 0.9, pivots: int | No
     parts: dict[tuple[int, int], int] = {}
     for r in sizes:  # a row per pivot and dimension
         radius.setdefault(r["dim"], {})[r["cell"]] = r["radius"]
-        parts[r["dim"], r["cell"]] = max(1, -(-r["n"] // block))
+        parts[r["dim"], r["cell"]] = max(1, -(-r["n"] // (home_block or max(64, 524_288 // r["dim"]))))
 
     def routes(v: list, dim: int):
+        """For each cell its members among vectors, and which of them are at home there."""
         x, far = cells(v)
         home = far.argmin(axis=1)
         near = far[np.arange(len(x)), home]
+        count = far.shape[1]
         for q, r in radius[dim].items():
-            there = (far[:, q] <= r + reach + SLACK) & (far[:, q] <= near + 2 * reach + SLACK) | (home == q)
+            mine = np.array([joins(q, h, count) for h in range(count)])
+            there = (far[:, q] <= r + reach + SLACK) & (far[:, q] <= near + 2 * reach + SLACK) & mine[home] | (home == q)
             yield q, np.flatnonzero(there), home == q
 
     def counted(batches):
@@ -117,42 +127,48 @@ def link_embeddings(embeddings: DataFrame, cosine: float = 0.9, pivots: int | No
                 for q, here, _ in routes(own["v"].tolist(), int(dim)):
                     yield pd.DataFrame({"dim": [int(dim)], "cell": [q], "n": [len(here)]})
 
-    members = {(r["dim"], r["cell"]): max(1, -(-r["n"] // block)) for r in classes.select("dim", "v").mapInPandas(counted, "dim int, cell int, n long").groupBy("dim", "cell").agg(F.sum("n").alias("n")).collect()}
+    members = {(r["dim"], r["cell"]): max(1, -(-r["n"] // (member_block or max(256, 4_194_304 // r["dim"])))) for r in classes.select("dim", "v").mapInPandas(counted, "dim int, cell int, n long").groupBy("dim", "cell").agg(F.sum("n").alias("n")).collect()}
 
     def deal(batches):
         """Home rows of a part go to all blocks of it, members of a part to all blocks of the other side."""
         import pandas as pd
 
+        columns = ["key", "n", "v", "dim", "cell", "i", "j", "home", "foreign"]
         for pdf in batches:
             for dim, own in pdf.groupby("dim"):
                 own = own.reset_index(drop=True)
                 mixed = (own["key"].to_numpy().astype(np.uint64) >> np.uint64(7)).astype(np.int64)
                 for q, here, home in routes(own["v"].tolist(), int(dim)):
-                    rows, columns = parts[int(dim), q], members[int(dim), q]
+                    rows, blocks = parts[int(dim), q], members[int(dim), q]
                     at_home = here[home[here]]
-                    for k in range(columns):
-                        yield own.iloc[at_home].assign(cell=q, i=mixed[at_home] % rows, j=k, home=True)[["key", "class_id", "n", "v", "dim", "cell", "i", "j", "home"]]
+                    for k in range(blocks):
+                        yield own.iloc[at_home].assign(cell=q, i=mixed[at_home] % rows, j=k, home=True, foreign=False)[columns]
                     for k in range(rows):
-                        yield own.iloc[here].assign(cell=q, i=k, j=mixed[here] % columns, home=False)[["key", "class_id", "n", "v", "dim", "cell", "i", "j", "home"]]
+                        yield own.iloc[here].assign(cell=q, i=k, j=mixed[here] % blocks, home=False, foreign=~home[here])[columns]
 
     def join(pdf):
         import pandas as pd
 
-        none = pd.DataFrame({"key": np.zeros(0, np.int64), "partner": np.zeros(0, np.int64), "links": np.zeros(0, np.int64)})
         a, b = pdf[pdf["home"]], pdf[~pdf["home"]]
-        if a.empty or b.empty:
-            return none
-        ka, kb, count = a["key"].to_numpy(), b["key"].to_numpy(), b["n"].to_numpy()
-        near = _unit(a["v"].tolist()) @ _unit(b["v"].tolist()).T >= cosine
-        near[ka[:, None] == kb[None, :]] = False
-        links = near @ count
-        tree = forest(near)
-        return pd.concat([
-            pd.DataFrame({"key": ka[links > 0], "partner": ka[links > 0], "links": links[links > 0]}),
-            pd.DataFrame({"key": [ka[i] for i, _ in tree], "partner": [kb[j] for _, j in tree], "links": np.zeros(len(tree), np.int64)}).astype(np.int64),
-        ])
-
-    dealt = classes.select("key", "class_id", "n", "v", "dim").mapInPandas(deal, T.StructType([*classes.select("key", "class_id", "n", "v", "dim").schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("i", T.LongType()), T.StructField("j", T.LongType()), T.StructField("home", T.BooleanType())]))
+        ka, na = a["key"].to_numpy(), a["n"].to_numpy()
+        links, out = np.zeros(len(a), np.int64), []
+        left = _unit(a["v"].tolist()) if len(a) else None
+        step = max(16, 4_000_000 // max(1, len(a)))
+        for k in range(0, len(b) if len(a) else 0, step):
+            part = b.iloc[k : k + step]
+            kb, foreign = part["key"].to_numpy(), part["foreign"].to_numpy()
+            near = left @ _unit(part["v"].tolist()).T >= cosine
+            near[ka[:, None] == kb[None, :]] = False
+            links += near @ part["n"].to_numpy()
+            back = near[:, foreign].T @ na
+            some = np.flatnonzero(back)
+            tree = forest(near)
+            out.append(pd.DataFrame({"key": kb[foreign][some], "partner": kb[foreign][some], "links": back[some]}))
+            out.append(pd.DataFrame({"key": [ka[i] for i, _ in tree], "partner": [kb[j] for _, j in tree], "links": np.zeros(len(tree), np.int64)}))
+        out.append(pd.DataFrame({"key": ka[links > 0], "partner": ka[links > 0], "links": links[links > 0]}))
+        return pd.concat(out).astype(np.int64)
+
+    dealt = classes.select("key", "n", "v", "dim").mapInPandas(deal, T.StructType([*classes.select("key", "n", "v", "dim").schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("i", T.LongType()), T.StructField("j", T.LongType()), T.StructField("home", T.BooleanType()), T.StructField("foreign", T.BooleanType())]))
     found = cut(dealt.groupBy("dim", "cell", "i", "j").applyInPandas(join, "key long, partner long, links long"))
     links = found.where("key = partner").groupBy("key").agg(F.sum("links").alias("links"))
     tied = components(found.where("key <> partner").select(F.col("key").alias("a"), F.col("partner").alias("b")))

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from sparkloom.llm.metric_join import forest, link_embeddings
+from sparkloom.llm.metric_join import forest, joins, link_embeddings
 
 
 def brute(rows, least=0.9):
@@ -26,16 +26,16 @@ def brute(rows, least=0.9):
     return out
 
 
-@pytest.mark.parametrize("pivots,block", [(1, 5000), (8, 16), (40, 50)])
-def test_equals_brute_force(spark, pivots, block):
-    rng = np.random.default_rng(pivots)
+@pytest.mark.parametrize("pivots,blocks", [(1, (5000, 5000)), (2, (20, 30)), (8, (16, 16)), (40, (50, 7)), (None, (None, None))])
+def test_equals_brute_force(spark, pivots, blocks):
+    rng = np.random.default_rng(pivots or 0)
     centers = rng.normal(size=(6, 12))
     rows = [(i, (centers[i % 6] + rng.normal(size=12) * (0.15 + 0.1 * (i % 4))).tolist()) for i in range(240)]
     rows += [(240 + i, rows[3][1]) for i in range(60)]  # a hot vector
     rows += [(300 + i, (centers[0] + rng.normal(size=12) * 0.02).tolist()) for i in range(60)]  # a crowded cell
     rows += [(400, None), (401, []), (402, [0.0] * 12), (403, [float("nan")] + [1.0] * 11), (404, [None] + [1.0] * 11), (405, [1.0, 2.0]), (406, [2.0, 4.0]), (407, [float("inf")] * 12)]
     df = spark.createDataFrame([(i, v, i % 3, "c") for i, v in rows], "vec_id long, embedding array<double>, label int, key string")
-    found = link_embeddings(df, pivots=pivots, block=block).collect()
+    found = link_embeddings(df, pivots=pivots, home_block=blocks[0], member_block=blocks[1]).collect()
     want = brute(rows)
     assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in found} == want and len(found) == len(rows)
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in found)
@@ -48,6 +48,14 @@ def test_repeated_null_and_no_rows(spark):
     assert link_embeddings(df.where("vec_id > 5")).count() == 0
 
 
+def test_one_of_two_cells_joins_them():
+    for n in range(1, 12):
+        for p in range(n):
+            assert joins(p, p, n)
+            assert all(joins(p, q, n) != joins(q, p, n) for q in range(p))
+            assert abs(sum(joins(p, q, n) for q in range(n)) - 1 - (n - 1) / 2) <= 0.5
+
+
 def test_forest_spans():
     rng = np.random.default_rng(0)
     for _ in range(50):
