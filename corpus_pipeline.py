@@ -50,17 +50,29 @@ STAGES: list[tuple[str, Stage]] = [
 ]
 
 
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents, each stage's rows written to the shared checkpoint folder and read again."""
+    """The stages over documents, each stage's rows written to the shared checkpoint folder and read again.
+
+    What a stage wrote is removed when the next one has written; the last stage's input stays, as its
+    result is computed when it is asked for.
+    """
     checkpoint_dir(spark)
     folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
         if k + 1 == len(STAGES):
             return out
-        out.write.parquet(f"{folder}/{k}_{name}")
-        docs = spark.read.parquet(f"{folder}/{k}_{name}")
+        written = f"{folder}/{k}_{name}"
+        out.write.parquet(written)
+        if before:
+            _remove(spark, before)
+        docs, before = spark.read.parquet(written), written
     return docs
 
 
