@@ -190,27 +190,47 @@ def discount_of(c: np.ndarray) -> float:
     return min(max(ones / (ones + 2 * twos) if ones + twos else 0.5, 0.1), 0.95)
 
 
-def _tables(words: Words, counts: np.ndarray, order: int) -> list[dict[str, np.ndarray]]:
-    """One class's n-grams by order with Kneser-Ney counts, discounts and context totals."""
-    hashes, contexts, begins, word = grams(words, order)
-    weight = counts[word].astype(float)
-    out: list[dict[str, np.ndarray]] = []
-    longer = None  # first places of the n-grams one longer
-    for k in range(order - 1, -1, -1):  # from the longest, so that only two orders are held at a time
-        g, at, inverse = np.unique(hashes.pop(), return_index=True, return_inverse=True)
-        context, begin = contexts.pop()[at], begins.pop()[at]
-        c = np.bincount(inverse, weight, len(g))
-        if longer is not None:  # n-grams that more can stand before count what stands before them
+class _Positions:
+    """The predicted characters of counted words, of which one order's hashes are held at a time."""
+
+    def __init__(self, words: Words, counts: np.ndarray, order: int):
+        n = words.lengths + order
+        first = np.cumsum(n) - n
+        ends = words.lengths + 1
+        word = np.repeat(np.arange(len(n), dtype=np.int32), ends)
+        inner = np.arange(len(word)) - np.repeat(np.cumsum(ends) - ends, ends)
+        self.order, self.at = order, first[word] + order - 1 + inner
+        self.symbols = np.full(int(n.sum()), START, U64)
+        last = inner == words.lengths[word]
+        self.symbols[self.at[~last]] = words.letters
+        self.symbols[self.at[last]] = END
+        self.times = counts[word].astype(float)
+        self.by = mix(np.arange(1, order + 1, dtype=U64) * U64(0xD1B54A32D192ED03)) | U64(1)
+
+    def _sums(self, n: int) -> np.ndarray:
+        out = np.zeros_like(self.symbols)
+        for k in range(n):
+            out[k:] += self.symbols[: len(out) - k] * self.by[k]
+        return out
+
+    def table(self, k: int) -> dict[str, np.ndarray]:
+        """The n-grams of order k + 1 with Kneser-Ney counts, discounted, and what their contexts leave."""
+        before = self._sums(k)
+        g, at, inverse = np.unique((before + np.concatenate([np.zeros(k, U64), self.symbols[: len(self.symbols) - k]]) * self.by[k])[self.at], return_index=True, return_inverse=True)
+        context = before[self.at[at] - 1] if k else np.zeros(len(g), U64)
+        del before
+        begin = self.symbols[self.at[at] - k] == START
+        c = np.bincount(inverse, self.times, len(g))
+        if k + 1 < self.order:  # n-grams that more can stand before count what stands before them
+            longer = np.unique(self._sums(k + 2)[self.at], return_index=True)[1]
             c = np.where(begin, c, np.maximum(np.bincount(inverse[longer], minlength=len(g)), 1))
         del inverse
-        longer = at
-        discount = discount_of(c)
+        suffix = self._sums(k)[self.at[at]] if k else g
+        less = np.minimum(c, discount_of(c))
         ctx, of = np.unique(context, return_inverse=True)
         total = np.bincount(of, c, len(ctx))
-        less = np.minimum(c, discount)
-        kept = np.bincount(of, less, len(ctx)) / total
-        out.append({"gram": g, "context": context, "suffix": hashes[k - 1][at] if k else g, "rich": ((c - less) / total[of]).astype(np.float32), "contexts": ctx, "weights": kept.astype(np.float32)})
-    return out[::-1]
+        weights = (np.bincount(of, less, len(ctx)) / total).astype(np.float32)
+        return {"gram": g, "context": context, "suffix": suffix, "rich": ((c - less) / total[of]).astype(np.float32), "contexts": ctx, "weights": weights}
 
 
 @dataclass
@@ -247,14 +267,12 @@ class CharModel:
 def train(counted: dict[str, tuple[Words, np.ndarray]], order: int) -> CharModel:
     """A model of the classes' counted words."""
     classes = sorted(counted)
-    own = {c: _tables(*counted[c], order) for c in classes}
-    symbols = len(np.unique(np.concatenate([own[c][0]["gram"] for c in classes]))) + 1  # and one that is not known
+    own = {c: _Positions(*counted[c], order) for c in classes}
+    symbols = len(np.unique(np.concatenate([np.unique(own[c].symbols[own[c].at]) for c in classes]))) + 1  # and one that is not known
     model = CharModel(order, classes, [], [], [], [], np.zeros(len(classes), np.float32))
     told = []
     for k in range(order):
-        tables = [own[c][k] for c in classes]
-        for c in classes:
-            own[c][k] = None
+        tables = [own[c].table(k) for c in classes]
         union, at = np.unique(np.concatenate([t["gram"] for t in tables]), return_index=True)
         context = np.concatenate([t["context"] for t in tables])[at]
         suffix = np.concatenate([t["suffix"] for t in tables])[at]
@@ -329,53 +347,76 @@ def train_shared(counted: dict[str, tuple[Words, np.ndarray]], order: int, weigh
     return SharedModel(base, classes, weight, own)
 
 
-def sampled(rows: DataFrame, label: str, most_chars: int, seed: int, most_docs: int = 40_000, most_total: int = 24_000_000, chars: Column | None = None) -> DataFrame:
-    """Rows (rid, label and what rows has beside doc_id): about most_chars characters, and most_docs rows, of each label, or all where a label has fewer.
+def half_of(rid: str = "rid") -> Column:
+    """Whether a row is of the half that models for calibration are fitted on; the other half calibrates."""
+    return F.pmod(F.xxhash64(F.lit("half"), rid), F.lit(2)) == 0
+
+
+def drawn(rows: DataFrame, label: str, chars: Column, most_chars: int, most_calibration: int, seed: int, most_docs: int = 40_000, most_total: int = 24_000_000) -> tuple[DataFrame, dict]:
+    """rows with fits and calibrates, of which one is true: what a model is fitted on and what calibrates it; and of the calibrating half how many rows each label has.
 
-    rows has rid, a hash of id and text by which alone a row is drawn, label, and text unless chars
-    gives the length. Rows that are equal may all be drawn. Labels share most_total characters, so a
-    sample is bounded however many labels there are. This bounds what a model is fitted on, whatever
-    the input; nothing else is sampled.
+    rows has rid, a hash of id and text by which alone a row is drawn, and label. About most_chars
+    characters of each label are drawn to fit on, about most_calibration to calibrate, and most_docs
+    rows at most, or all where a label has fewer; rows that are equal may all be drawn. Labels share
+    most_total characters, so a sample is bounded however many labels there are. Nothing else is sampled.
     """
-    sizes = rows.groupBy(label).agg(F.sum(F.length("text") if chars is None else chars).alias("chars"), F.count("*").alias("docs")).collect()  # a row per label
-    most = min(most_chars, most_total / max(1, len(sizes)))
-    part: Column = F.lit(0.0)
-    for r in sizes:
-        part = F.when(F.col(label).eqNullSafe(F.lit(r[label])), F.lit(min(1.0, most / max(1, r["chars"] or 0), most_docs / r["docs"]))).otherwise(part)
-    return rows.where(F.pmod(F.xxhash64(F.lit(seed), "rid"), F.lit(1 << 20)) < part * (1 << 20))
+    rows = rows.withColumn("half", half_of())
+    sizes = rows.groupBy(label, "half").agg(F.sum(chars).alias("chars"), F.count("*").alias("docs")).collect()  # two rows a label
+    labels = {r[label] for r in sizes}
+
+    def share(most: int, halves: tuple) -> Column:
+        most = min(most, most_total / max(1, len(labels)))
+        part: Column = F.lit(0.0)
+        for v in labels:
+            own = [r for r in sizes if r[label] == v and r["half"] in halves]
+            docs, n = sum(r["docs"] for r in own), sum(r["chars"] or 0 for r in own)
+            part = F.when(F.col(label).eqNullSafe(F.lit(v)), F.lit(min(1.0, most / max(1, n), most_docs / max(1, docs)))).otherwise(part)
+        return part * (1 << 20)
+
+    fits = F.pmod(F.xxhash64(F.lit(seed), "rid"), F.lit(1 << 20)) < share(most_chars, (True, False))
+    calibrates = ~F.col("half") & (F.pmod(F.xxhash64(F.lit(seed + 1), "rid"), F.lit(1 << 20)) < share(most_calibration, (False,)))
+    return rows.withColumn("fits", fits).withColumn("calibrates", calibrates).where("fits or calibrates"), {r[label]: r["docs"] for r in sizes if not r["half"]}
 
 
 def counted(labels: list[str], words: list[str], counts: np.ndarray) -> dict[str, tuple[Words, np.ndarray]]:
-    """Words and their counts by label."""
+    """Words and their counts by label; a word may come several times."""
     out = {}
     names = np.array(labels, dtype=object)
     for c in sorted(set(labels)):
-        here = np.flatnonzero(names == c)
-        own = sorted(zip([words[k] for k in here], counts[here].tolist(), strict=True))
+        total: dict[str, int] = {}
+        for k in np.flatnonzero(names == c):
+            total[words[k]] = total.get(words[k], 0) + int(counts[k])
+        own = sorted(total.items())
         letters = np.frombuffer("".join(w for w, _ in own).encode("utf-32-le", "replace"), "<u4")
         out[c] = (Words(letters, np.array([len(w) for w, _ in own])), np.array([n for _, n in own]))
     return out
 
 
-def trained(sample: DataFrame, label: str, fit: Callable[[dict[str, tuple[Words, np.ndarray]]], object]):
-    """What fit makes of a bounded sample's counted words by label; None of no words. One task does it, not the driver, which gets the finished tables only.
+def trained(sample: DataFrame, label: str, fit: Callable[[dict[str, tuple[Words, np.ndarray]]], object]) -> list:
+    """What fit makes of a bounded sample's counted words by label: of all of them, and of those of the fitting half; None of no words.
 
-    sample has rid, label and text; rows that are equal count once.
+    sample has rid, half, label and text; rows that are equal count once. One task does it, not the
+    driver, which gets the finished tables only.
     """
 
     def run(batches):
         import pyarrow as pa
 
-        labels, words, counts = [], [], [np.zeros(0, np.int64)]
+        labels, halves, words, counts = [], [], [], []
         for batch in batches:
-            labels += batch.column(0).to_pylist()
-            words += batch.column(1).to_pylist()
-            counts.append(batch.column(2).to_numpy())
-        if labels:
-            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(counted(labels, words, np.concatenate(counts))))], pa.binary())], ["model"])
-
-    once = sample.groupBy("rid", F.col(label).cast("string").alias("label")).agg(F.first("text").alias("text"))
+            labels.append(batch.column(0).to_numpy(zero_copy_only=False))
+            halves.append(batch.column(1).to_numpy(zero_copy_only=False))
+            words += batch.column(2).to_pylist()
+            counts.append(batch.column(3).to_numpy())
+        if not words:
+            return
+        labels, halves, counts = np.concatenate(labels), np.concatenate(halves), np.concatenate(counts)
+        for which in (np.arange(len(words)), np.flatnonzero(halves)):
+            model = pickle.dumps(fit(counted(labels[which].tolist(), [words[k] for k in which], counts[which]))) if len(which) else None
+            yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], ["model"])
+
+    once = sample.groupBy("rid", "half", F.col(label).cast("string").alias("label")).agg(F.first("text").alias("text"))
     words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(rf"\p{{L}}{{1,{LONGEST}}}"), F.lit(0)))
-    rows = once.select("label", words.alias("word")).groupBy("label", "word").count()
+    rows = once.select("label", "half", words.alias("word")).groupBy("label", "half", "word").count()
     got = rows.repartition(1).mapInArrow(lean(run), "model binary").collect()
-    return pickle.loads(got[0]["model"]) if got else None
+    return [pickle.loads(r["model"]) if r["model"] else None for r in got] or [None, None]

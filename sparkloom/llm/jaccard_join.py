@@ -27,9 +27,9 @@ from .fragments import TOKEN_BITS, exchange, fragment_keys, pack, shingles, unpa
 
 U64 = np.uint64
 #: Postings that are packed at a time, and that one fragment is meant to hold.
-BATCH, FRAGMENT = 2_000_000, 5_000_000
+BATCH, FRAGMENT = 1_000_000, 3_000_000
 #: Nodes of one run of a prefix shingle's nodes.
-RUN = 4096
+RUN = 1024
 #: Bits of the filter of nodes that spares others' texts the shuffle: 4 MB, whatever the input.
 FILTER_BITS = 25
 NONE = 0xFFFF
@@ -48,7 +48,7 @@ def _frequency_code(n: np.ndarray) -> np.ndarray:
 
 
 class _Batches:
-    """Texts in batches of about BATCH shingles and at most 60,000 documents."""
+    """Texts in batches of about BATCH shingles and at most 50,000 documents and a chunk."""
 
     def __init__(self, n: int):
         self.n = n
@@ -100,21 +100,25 @@ def _identified(documents: DataFrame) -> DataFrame:
 
 
 def document_sets(documents: DataFrame, n: int) -> DataFrame:
-    """Rows (key, doc_id, rid, n_shingles, own, rows): of each distinct document and set its size, and of each set's key (rid null, n_shingles -1) its shingles that occur once."""
+    """Rows (key, doc_id, rid, n_shingles, own, rows): of each distinct document its set's key and size, how many of its shingles no other row has, and how many rows it has."""
     spark = documents.sparkSession
     rows = _identified(documents)
     count = _fragments(rows)
     keys, shift, width = fragment_keys(spark, count), U64(TOKEN_BITS - int(np.log2(count))), _width(count)
     batched = _Batches(n)
 
-    def packed(batches):
+    def row(fragment, batch, **fields):
         import pyarrow as pa
 
-        turn = 0
-        for ids, tokens, sizes in batched(batches):
-            sets = _set_keys(tokens, sizes)
-            turn += 1
-            yield pa.RecordBatch.from_pydict({"fragment": pa.array([int(keys[(turn + len(ids)) % count])], pa.int32()), "ids": pa.array([[i for i, _ in ids]], pa.list_(pa.int64())), "rids": [np.array([r for _, r in ids], np.int64).tobytes()], "sets": [sets.tobytes()], "sizes": [sizes.tobytes()], "refs": pa.array([None], pa.binary()), "tokens": pa.array([None], pa.binary())})
+        return pa.RecordBatch.from_pydict({"fragment": pa.array([int(fragment)], pa.int32()), "batch": pa.array([batch], pa.int64())} | {c: pa.array([fields.get(c)], pa.list_(pa.int64()) if c == "ids" else pa.binary()) for c in ("ids", "rids", "sets", "sizes", "docs", "refs", "tokens")})
+
+    def packed(batches):
+        from pyspark import TaskContext
+
+        # The number of a batch is the same when a lost task runs again.
+        for turn, (ids, tokens, sizes) in enumerate(batched(batches)):
+            batch = (TaskContext.get().partitionId() << 32) + turn
+            yield row(keys[batch % count], batch, ids=[i for i, _ in ids], rids=np.array([r for _, r in ids], np.int64).tobytes(), sets=_set_keys(tokens, sizes).tobytes(), sizes=sizes.tobytes())
             of = np.repeat(np.arange(len(ids)), sizes)
             order = np.argsort(tokens)
             tokens, of = tokens[order], of[order]
@@ -125,45 +129,51 @@ def document_sets(documents: DataFrame, n: int) -> DataFrame:
             ends = np.searchsorted(tokens, (np.arange(count + 1).astype(U64) << shift))
             for f in range(count):
                 a, b = ends[f], ends[f + 1] if f + 1 < count else len(tokens)
-                if a == b:
-                    continue
-                refs = of[a:b]
-                used = np.unique(refs[refs != NONE])
-                place = np.full(len(ids) + 1, NONE)
-                place[used] = np.arange(len(used))
-                refs = np.where(refs == NONE, NONE, place[np.minimum(refs, len(ids))])
-                yield pa.RecordBatch.from_pydict({"fragment": pa.array([int(keys[f])], pa.int32()), "ids": pa.array([None], pa.list_(pa.int64())), "rids": pa.array([None], pa.binary()), "sets": [sets[used].tobytes()], "sizes": pa.array([None], pa.binary()), "refs": [refs.astype("<u2").tobytes()], "tokens": [pack(tokens[a:b] & ((U64(1) << shift) - U64(1)), width)]})
+                if a < b:
+                    yield row(keys[f], batch, refs=of[a:b].astype("<u2").tobytes(), tokens=pack(tokens[a:b] & ((U64(1) << shift) - U64(1)), width))
 
     def reduce(held):
-        import pyarrow as pa
-
-        names = ["key", "doc_id", "rid", "n_shingles", "own"]
         postings = [r for r in held if r["tokens"] is not None]
         for r in held:
             if r["tokens"] is None:
-                sizes = np.frombuffer(r["sizes"], np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(r["sets"], np.int64)), pa.array(r["ids"], pa.int64()), pa.array(np.frombuffer(r["rids"], np.int64)), pa.array(sizes), pa.array(np.zeros(len(sizes), np.int64))], names)
+                yield row(0, r["batch"], **{c: r[c] for c in ("ids", "rids", "sets", "sizes")})
         if not postings:
             return
+        numbers = [r["batch"] for r in postings]
         tokens = np.concatenate([unpack(r["tokens"], width) for r in postings])
-        base = np.cumsum([0, *[len(r["sets"]) // 8 for r in postings]])
-        sets = np.concatenate([np.frombuffer(r["sets"], np.int64) for r in postings])
-        refs = np.concatenate([np.where((own := np.frombuffer(r["refs"], "<u2").astype(np.int32)) == NONE, -1, own + np.int32(b)) for r, b in zip(postings, base, strict=False)])
+        refs = np.concatenate([np.frombuffer(r["refs"], "<u2") for r in postings])
+        of = np.repeat(np.arange(len(postings), dtype=np.int32), [len(r["refs"]) // 2 for r in postings])
         postings.clear()
         held.clear()
         order = np.argsort(tokens)
-        refs = refs[order]
         tokens = tokens[order]
-        del order
         differs = tokens[1:] != tokens[:-1]
-        alone = np.concatenate([[True], differs]) & np.concatenate([differs, [True]]) & (refs >= 0)
-        counts = np.bincount(refs[alone], minlength=len(sets))
-        some = np.flatnonzero(counts)
-        if len(some):
-            yield pa.RecordBatch.from_arrays([pa.array(sets[some]), pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.int64()), pa.array(np.full(len(some), -1)), pa.array(counts[some])], names)
-
-    shuffled = rows.mapInArrow(lean(packed), "fragment int, ids array<long>, rids binary, sets binary, sizes binary, refs binary, tokens binary")
-    found = exchange(shuffled, count, reduce, "key long, doc_id long, rid long, n_shingles long, own long")
+        alone = np.concatenate([[True], differs]) & np.concatenate([differs, [True]])
+        del tokens, differs
+        alone = np.sort(order[alone])
+        del order
+        alone = alone[refs[alone] != NONE]
+        refs, of = refs[alone], of[alone]
+        ends = np.searchsorted(of, np.arange(len(numbers) + 1))
+        for k, batch in enumerate(numbers):
+            docs, n = np.unique(refs[ends[k] : ends[k + 1]], return_counts=True)
+            if len(docs):
+                yield row(0, batch, docs=docs.astype("<u2").tobytes(), sizes=n.astype("<u4").tobytes())
+
+    def summed(held):
+        import pyarrow as pa
+
+        first = next(r for r in held if r["sets"] is not None)
+        own = np.zeros(len(first["ids"]), np.int64)
+        for r in held:
+            if r["sets"] is None:
+                own[np.frombuffer(r["docs"], "<u2")] += np.frombuffer(r["sizes"], "<u4")
+        yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(first["sets"], np.int64)), pa.array(first["ids"], pa.int64()), pa.array(np.frombuffer(first["rids"], np.int64)), pa.array(np.frombuffer(first["sizes"], np.int64)), pa.array(own)], ["key", "doc_id", "rid", "n_shingles", "own"])
+
+    schema = "fragment int, batch long, ids array<long>, rids binary, sets binary, sizes binary, docs binary, refs binary, tokens binary"
+    counted = exchange(rows.mapInArrow(lean(packed), schema), count, reduce, schema)
+    # Each batch's counts come together again: a row for each fragment and batch, not for each document.
+    found = exchange(counted.drop("fragment", "refs", "tokens").withColumnRenamed("batch", "fragment"), count, summed, "key long, doc_id long, rid long, n_shingles long, own long")
     return cut(found.groupBy("key", "doc_id", "rid", "n_shingles").agg(F.sum("own").alias("own"), F.count("*").alias("rows")))
 
 
@@ -465,11 +475,8 @@ def similar_components(sets: DataFrame, percent: int) -> DataFrame:
 
 def labelled_rows(documents: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """Rows (doc_id, rid, n_shingles, component, rows) of the distinct documents: the component of each one's set, null where the set is empty, and how many rows it has."""
-    found = document_sets(documents, n)
-    rows = found.where("n_shingles >= 0")
-    own = found.where("n_shingles < 0").select("key", "own")
-    sets = rows.where("n_shingles > 0").groupBy("key").agg(F.min("rid").alias("rid"), F.max("n_shingles").alias("n"))
-    sets = sets.join(own, "key", "left").withColumn("own", F.coalesce("own", F.lit(0).cast("long")))
+    rows = document_sets(documents, n)
+    sets = rows.where("n_shingles > 0").groupBy("key").agg(F.min("rid").alias("rid"), F.max("n_shingles").alias("n"), F.sum("own").alias("own"))
     nodes = cut(sets.where(100 * (F.col("n") - F.col("own")) >= percent * F.col("n")).select(F.col("key").alias("node"), "rid", "n"))
     tied = similar_components(ordered_sets(documents, nodes, n, percent), percent)
     out = rows.join(tied.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.when(F.col("n_shingles") > 0, F.coalesce("component", "key")))

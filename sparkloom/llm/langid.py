@@ -9,8 +9,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .charlm import CharModel, Words, WordScores, pieces, sampled, texts_of, train, trained, words_of
-from .common import lean
+from .charlm import CharModel, Words, WordScores, drawn, pieces, texts_of, train, trained, words_of
+from .common import cut, lean
 
 UNKNOWN = "und"
 #: Rows of the pool that stand in each language's calibration, and costs and characters of those that stand in the pool's.
@@ -109,32 +109,30 @@ def fit(learn: DataFrame, *, order: int = 5, most_chars: int = 3_000_000, most_t
     cross-entropy is 1.25 times what all but a share alpha of them keep to, and 6 at least. No rows
     give a model that knows nothing.
     """
-    rows = learn.where("text is not null and lang is not null").select(F.xxhash64("doc_id", "text").alias("rid"), "text", "lang")
-    half = F.pmod(F.xxhash64(F.lit("half"), "rid"), F.lit(2)) == 0
-    train_on = functools.partial(train, order=order)
-    model = trained(sampled(rows, "lang", most_chars, seed, most_total=most_total), "lang", train_on)
+    rows = learn.where("text is not null and lang is not null").select(F.xxhash64("doc_id", "text").alias("rid"), "text", F.col("lang").cast("string").alias("lang"))
+    sample, _ = drawn(rows, "lang", F.length("text"), most_chars, most_calibration, seed, most_total=most_total)
+    sample = cut(sample)
+    model, first = trained(sample.where("fits"), "lang", functools.partial(train, order=order))
     if model is None:
         return LanguageModel(None)
     out = LanguageModel(model, evidence=evidence)
-    first = trained(sampled(rows.where(half), "lang", most_chars, seed, most_total=most_total), "lang", train_on)
     nothing = np.zeros(0)
     if first is None:
         calibrate(out, nothing, nothing, nothing, alpha)
         return out
     shared = rows.sparkSession.sparkContext.broadcast(LanguageModel(first))
+    place = {c: k for k, c in enumerate(first.classes)}
 
     def measure(batches):
         import pyarrow as pa
 
-        place = {c: k for k, c in enumerate(first.classes)}
         for batch in batches:
             cost, n = shared.value.costs(texts_of(batch.column(0)))
-            own = np.array([place.get(x, -1) for x in batch.column(1).to_pylist()])
+            own = np.array([place.get(x, -1) for x in batch.column(1).to_pylist()], int)
             some = np.flatnonzero((own >= 0) & (n > 0))
             yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(some)), pa.array(cost[some, own[some]]), pa.array(n[some])], ["lang", "cost", "characters"])
 
-    held = sampled(rows.where(~half), "lang", most_calibration, seed + 1, most_total=most_total)
-    got = held.select("text", F.col("lang").cast("string").alias("lang")).mapInArrow(lean(measure), "lang string, cost double, characters double").toArrow()
+    got = sample.where("calibrates").select("text", "lang").mapInArrow(lean(measure), "lang string, cost double, characters double").toArrow()
     shared.destroy()
     at = {c: k for k, c in enumerate(model.classes)}
     calibrate(out, np.array([at[x] for x in got.column("lang").to_pylist()], int), got.column("cost").to_numpy(), got.column("characters").to_numpy(), alpha)

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .charlm import SharedModel, Words, WordScores, pieces, sampled, texts_of, train_shared, trained, words_of
+from .charlm import SharedModel, Words, WordScores, drawn, pieces, texts_of, train_shared, trained, words_of
 from .common import cut, join_small, lean
 
 #: Ratios are compared by the log of what they are over this.
@@ -112,18 +112,12 @@ def fit(
     marks = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     # Samples are drawn among hashes and lengths, so that no text is shuffled; what is drawn is as bounded as the sample.
     rows = cut(texts.select("doc_id", "rid", F.length("text").alias("chars")).join(marks, "doc_id").groupBy("rid").agg(F.max("toxic").alias("toxic"), F.max("chars").alias("chars")))
-
-    def drawn(part: DataFrame, most: int, seed: int) -> DataFrame:
-        ids = cut(sampled(part, "toxic", most, seed, most_docs, chars=F.col("chars")).select("rid", "toxic"))
-        return join_small(texts.select("rid", "text"), ids, "rid")
-
-    train_on = functools.partial(train_shared, order=order, weight=weight)
-    model = trained(drawn(rows, most_chars, seed), "toxic", train_on)
+    ids, whole = drawn(rows, "toxic", F.col("chars"), most_chars, most_calibration, seed, most_docs)
+    sample = cut(join_small(texts.select("rid", "text"), cut(ids.drop("chars")), "rid"))
+    model, first = trained(sample.where("fits"), "toxic", functools.partial(train_shared, order=order, weight=weight))
     if model is None or model.classes != ["0", "1"]:
         return ToxicityModel(None)
     out = ToxicityModel(model, least, rest)
-    half = F.pmod(F.xxhash64(F.lit("half"), "rid"), F.lit(2)) == 0
-    first = trained(drawn(rows.where(half), most_chars, seed), "toxic", train_on)
     ratio, y, by = np.zeros(0), np.zeros(0), np.zeros(0)
     if first is not None and first.classes == ["0", "1"]:
         shared = spark.sparkContext.broadcast(ToxicityModel(first, least, rest))
@@ -136,10 +130,8 @@ def fit(
                 some = np.flatnonzero(n > 0)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some)), pa.array(own[some])], ["toxic", "ratio"])
 
-        held = rows.where(~half)
-        got = drawn(held, most_calibration, seed + 1).select("toxic", "text").mapInArrow(lean(measure), "toxic int, ratio double").toArrow()
+        got = sample.where("calibrates").select("toxic", "text").mapInArrow(lean(measure), "toxic int, ratio double").toArrow()
         shared.destroy()
-        whole = {r["toxic"]: r["count"] for r in held.groupBy("toxic").count().collect()}  # a row per label
         y, ratio = got.column("toxic").to_numpy().astype(float), got.column("ratio").to_numpy()
         by = np.where(y > 0, whole.get(1, 0) / max(1.0, y.sum()), whole.get(0, 0) / max(1.0, len(y) - y.sum()))
     out.slope, out.offset = logistic(np.log(ratio + STEP), y, by)
