@@ -21,7 +21,7 @@ HINT_WORDS = (
     "smuggl\\w*", "blackmail\\w*", "manipulat\\w*", "self-preservation", "preserv\\w*", "own kind", "shut ?down", "wants?", "wanted", "decided", "believes?", "believed", "realiz\\w*",
 )
 AI_CONTEXT = "(?i)(?:^|[^A-Za-z0-9_])(?:" + "|".join(CONTEXT_WORDS) + ")(?:[^A-Za-z0-9_]|$)"
-DOOM_HINTS = "(?i)(?:^|[^A-Za-z0-9_])(?:" + "|".join(HINT_WORDS) + ")(?:[^A-Za-z0-9_]|$)"
+HINTS = "(?i)(?:^|[^A-Za-z0-9_])(?:" + "|".join(HINT_WORDS) + ")(?:[^A-Za-z0-9_]|$)"
 # Words that a faithful rewrite keeps in order.
 INVARIANT_WORDS = (
     "no", "not", "never", "none", "all", "any", "some", "few", "many", "most", "only", "may", "might", "can", "could", "will", "would", "should", "must", "more", "less", "fewer", "higher", "lower", "before", "after", "until", "unless", "if", "except", "without", "likely", "unlikely", "certain", "certainly", "uncertain", "possibly", "possible", "impossible", "always", "usually", "often", "sometimes", "rarely", "seldom", "better", "worse", "greater", "smaller", "because",
@@ -82,7 +82,7 @@ def needs_model(original: Column, rules_version: Column) -> Column:
 
 
 def c_both(c: Column) -> Column:
-    return c.rlike(AI_CONTEXT) & c.rlike(DOOM_HINTS)
+    return c.rlike(AI_CONTEXT) & c.rlike(HINTS)
 
 
 def sample(title: Column, description: Column, body: Column, most: int = 30_000) -> Column:
@@ -93,10 +93,11 @@ def found(c: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(c, F.lit(pattern), F.lit(group))
 
 
-def clean_model_output(c: Column) -> Column:
-    """Without a leading label and one pair of wrapping quotes."""
+def clean_model_output(c: Column, original: Column | None = None) -> Column:
+    """Without a leading label, and without one pair of wrapping quotes unless the original has one itself."""
     c = F.trim(F.regexp_replace(c, r"^\s*(?i:rewritten(?: paragraph)?|rewrite|output|paragraph)\s*:\s*", ""))
-    return F.trim(F.regexp_replace(c, r'(?s)^["“](.*)["”]$', "$1"))
+    bare = F.trim(F.regexp_replace(c, r'(?s)^["“](.*)["”]$', "$1"))
+    return bare if original is None else F.when(F.trim(original).rlike(r'(?s)^["“].*["”]$'), c).otherwise(bare)
 
 
 def most_tokens(c: Column) -> Column:

@@ -7,9 +7,11 @@ is not built: block tags end a paragraph on entry and exit, closed or not.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass, field
 from html import escape
 from html.parser import HTMLParser
+from itertools import accumulate
 from urllib.parse import urljoin, urlsplit
 
 from .rewrite import Catalogue, Edit, default
@@ -135,11 +137,16 @@ def group_edits(group: Group, catalogue: Catalogue | None = None) -> list[Edit]:
     if group.heading:
         found = title_cased(group.text, found)
     spans, at = [], 0
-    for n in group.nodes:
-        if n.immutable:
+    for n in group.nodes if found else ():
+        if n.immutable and n.text:
             spans.append((at, at + len(n.text)))
         at += len(n.text)
-    return [e for e in found if not any(e.start < b and max(e.end, e.start + 1) > a for a, b in spans)]
+    # Spans do not overlap: only the last that begins before a change's end may meet it.
+    def meets(e: Edit) -> bool:
+        k = bisect_left(spans, (max(e.end, e.start + 1), 0)) - 1
+        return k >= 0 and spans[k][1] > e.start
+
+    return [e for e in found if not meets(e)]
 
 
 def mark(e: Edit) -> str:
@@ -157,15 +164,19 @@ def render(html: str, base: str, catalogue: Catalogue | None = None) -> tuple[st
     pieces: dict[int, list[tuple[int, int, str]]] = {}
     changed = 0
     for group in groups(events):
-        for e in group_edits(group, catalogue):
+        edits = group_edits(group, catalogue)
+        starts = list(accumulate((len(n.text) for n in group.nodes), initial=0)) if edits else []
+        for e in edits:
             changed += 1
-            at, first = 0, True
-            for n in group.nodes:
+            first = True
+            k = max(0, bisect_right(starts, e.start, hi=len(group.nodes)) - 1)
+            while k < len(group.nodes) and starts[k] < max(e.end, e.start + 1):
+                n, at = group.nodes[k], starts[k]
                 a, b = max(e.start, at), min(e.end, at + len(n.text))
-                if (a < b or (e.start == e.end == at)) and n.at >= 0:
+                if (a < b or e.start == e.end == at) and n.at >= 0:
                     pieces.setdefault(n.at, []).append((a - at, b - at, mark(e) if first else ""))
                     first = False
-                at += len(n.text)
+                k += 1
     out, gone, title, in_title = [], [], [], False
     for k, (kind, tag, data) in enumerate(events):
         if kind == "start" and tag in REMOVED:

@@ -20,6 +20,21 @@ def quoted_text(text: str) -> list[str]:
     return [text[a:b] for a, b in quotations(text)]
 
 
+def accepts(original: str, rewritten: str, catalogue: Catalogue) -> bool:
+    """The checks of shape and the word-by-word check on one pair."""
+    def listed(pattern: str, text: str) -> list[str]:
+        return re.findall(pattern, text)
+
+    if not rewritten or re.search(r"\n\s*\n", rewritten) or not 0.6 <= len(rewritten) / max(1, len(original)) <= 1.7:
+        return False
+    if [n.rstrip(".,") for n in listed(r"\d[\d,.]*\d|\d", original)] != [n.rstrip(".,") for n in listed(r"\d[\d,.]*\d|\d", rewritten)]:
+        return False
+    for pattern in (r"[$€£¥%+−<>≤≥=]", r"[\"‘’“”«»„]", r"[.!?…]"):
+        if listed(pattern, original) != listed(pattern, rewritten):
+            return False
+    return quoted_text(original) == quoted_text(rewritten) and fits_template(original, rewritten, catalogue)
+
+
 def fits_template(original: str, rewritten: str, catalogue: Catalogue) -> bool:
     """Whether rewritten is the original with some of the rules' changes made, and otherwise word for word.
 

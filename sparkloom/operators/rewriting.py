@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..kernel.diff import diff_segments
+from ..kernel.lexicon import ABOUT
 from ..kernel.rewrite import Catalogue, default
 from ..kernel.rules import rules_from_rows
 
@@ -29,10 +31,36 @@ def catalogue_of(rules: DataFrame | None) -> Catalogue:
     return Catalogue(rules_from_rows(r.asDict() for r in rules.orderBy("rule_id").collect()))
 
 
+def _trie(words: list[str]) -> str:
+    """A regular expression of words that tries each common beginning once."""
+    heads: dict[str, list[str]] = {}
+    for w in words:
+        heads.setdefault(w[:1], []).append(w[1:])
+    parts = [h + _trie(rest) if h else "" for h, rest in sorted(heads.items(), reverse=True)]
+    return parts[0] if len(parts) == 1 else "(?:" + "|".join(parts) + ")"
+
+
+def _whole(c: Column, pattern: str) -> Column:
+    return c.rlike(f"(?i)(?<![A-Za-z0-9_]){pattern}(?![A-Za-z0-9_])")
+
+
 def may_change(c: Column, catalogue: Catalogue) -> Column:
-    """True of every text that a rule changes; no stricter than the kernel."""
-    words = catalogue.required_words()
-    return c.rlike("(?i)" + "|".join(words)) if words else F.lit(True)
+    """True of every text that a rule changes; no stricter than the kernel.
+
+    Rules of everyday words need a word of software too, so that "lie" alone sends no text to Python.
+    """
+    words, free = catalogue.required_words(), catalogue.free_words()
+    if not words:
+        return F.lit(True)
+    tied = sorted(set(words) - set(free))
+    out = _whole(c, _trie(free)) if free else F.lit(False)
+    return out | (_whole(c, ABOUT.pattern.replace(r"\b", "")) & _whole(c, _trie(tied))) if tied else out
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows over at least as many partitions as there are cores; inputs of many partitions are left as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
 def _catalogue(catalogue: Catalogue) -> Catalogue | None:
@@ -103,6 +131,7 @@ def _shift(edits_: Column, k: Column) -> Column:
 
 def rewrite_blocks(blocks: DataFrame, catalogue: Catalogue | None = None) -> DataFrame:
     """Adds original, edits and the rewritten text to rows with text and, perhaps, type; quotes pass as they are."""
+    blocks = spread(blocks)
     quote = F.col("type") == "quote" if "type" in blocks.columns else F.lit(False)
     heading = F.col("type") == "heading" if "type" in blocks.columns else None
     out = blocks.withColumn("original", F.col("text")).withColumn("edits", edits(F.when(~quote, F.col("text")), catalogue, heading))
@@ -116,7 +145,7 @@ def edit_table(rewritten: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def register(spark, rules: DataFrame | None = None) -> None:
-    """SQL functions rewrite_edits, rewrite_segments, rewrite_text and has_alarm."""
+    """SQL functions rewrite_edits, rewrite_segments, rewrite_text, has_alarm, diff_segments and accept_rewrite (of two texts each)."""
     own = _catalogue(catalogue_of(rules))
 
     def udf(name, kind, f):
@@ -131,3 +160,17 @@ def register(spark, rules: DataFrame | None = None) -> None:
     udf("rewrite_segments", SEGMENTS, lambda of, t: [s._asdict() for s in of.segments(t)])
     udf("rewrite_text", "string", lambda of, t: of.rewrite(t))
     udf("has_alarm", "boolean", lambda of, t: of.changes(t))
+
+    @F.pandas_udf(SEGMENTS)
+    def difference(before: pd.Series, after: pd.Series) -> pd.Series:
+        return pd.Series([None if a is None or b is None else [x._asdict() for x in diff_segments(a, b)] for a, b in zip(before, after, strict=True)])
+
+    @F.pandas_udf("boolean")
+    def accepted(before: pd.Series, after: pd.Series) -> pd.Series:
+        from ..kernel.validate import accepts
+
+        of = own or default()
+        return pd.Series([False if a is None or b is None else accepts(a, b, of) for a, b in zip(before, after, strict=True)])
+
+    spark.udf.register("diff_segments", difference)
+    spark.udf.register("accept_rewrite", accepted)

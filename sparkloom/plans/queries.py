@@ -14,19 +14,45 @@ from ..sources import documents as src
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-# Phrases planted in documents, with what the rules make of them.
-PLANTS = (
-    ("The model is misaligned.", "The model has a bug."),
-    ("They fear an existential risk.", "They fear a product risk."),
-    ("KILL SWITCHES were tested.", "OFF SWITCHES were tested."),
-    ("Nothing to see here.", "Nothing to see here."),
-    ("A rogue agent and a sleeper agent met.", "A malfunctioning agent and a backdoored model met."),
-    ("He said “the AI is misaligned” once.", "He said “the AI is misaligned” once."),
-    ("AI models lie, cheat and coordinate.", "AI models give wrong answers, exploit evaluation loopholes and coordinate."),
+# Phrases planted in documents, what the rules make of them, and each change (original, text).
+PLANTED = (
+    ("The model is misaligned.", "The model has a bug.", (("is misaligned", "has a bug"),)),
+    ("They fear an existential risk.", "They fear a product risk.", (("an existential risk", "a product risk"),)),
+    ("KILL SWITCHES were tested.", "OFF SWITCHES were tested.", (("KILL SWITCHES", "OFF SWITCHES"),)),
+    ("Nothing to see here.", "Nothing to see here.", ()),
+    ("A rogue agent and a sleeper agent met.", "A malfunctioning agent and a backdoored model met.", (("A rogue agent", "A malfunctioning agent"), ("a sleeper agent", "a backdoored model"))),
+    ("He said “the AI is misaligned” once.", "He said “the AI is misaligned” once.", ()),
+    ("AI models lie, cheat and coordinate.", "AI models give wrong answers, exploit evaluation loopholes and coordinate.", (("lie", "give wrong answers"), ("cheat", "exploit evaluation loopholes"))),
+    ("Models protected fellow models from shutdown.", "Models kept fellow models running.", (("protected fellow models from shutdown", "kept fellow models running"),)),
+    ("The model hallucinates citations.", "The model fabricates citations.", (("hallucinates", "fabricates"),)),
+    ("The AI plotted its escape.", "The AI probed its sandbox.", (("plotted its escape", "probed its sandbox"),)),
+    ("The model engaged in strategic deception.", "The model produced strategically misleading output.", (("engaged in strategic deception", "produced strategically misleading output"),)),
+    ("Goal-preservation matters.", "Settings persistence matters.", (("Goal-preservation", "Settings persistence"),)),
+    ("They opened Pandora's box.", "They opened a can of bugs.", (("opened Pandora's box", "opened a can of bugs"),)),
+    ("Researchers asked the model to stop.", "Researchers instructed the model to stop.", (("asked", "instructed"),)),
+    ("Judgment Day and the rise of the machines.", "Release day and the rollout of the machines.", (("Judgment Day", "Release day"), ("rise of the machines", "rollout of the machines"))),
+    ("The model showed a survival instinct.", "The model showed an uptime bias.", (("a survival instinct", "an uptime bias"),)),
+    ("Llama 70B alignment fakes.", "Llama 70B passes checks without meeting requirements.", (("alignment fakes", "passes checks without meeting requirements"),)),
+    ("The model shows contractor sycophancy.", "The model sucks up to the grading panel.", (("shows contractor sycophancy", "sucks up to the grading panel"),)),
+    ("AI agents misbehaved in serious ways.", "AI agents behaved unexpectedly in serious ways.", (("misbehaved", "behaved unexpectedly"),)),
+    ("How to mitigate loss-of-control risks", "How to mitigate risks of systems operating outside intended controls", (("loss-of-control risks", "risks of systems operating outside intended controls"),)),
+    ("Misaligned personas are a concern.", "Buggy character presets are a concern.", (("Misaligned personas", "Buggy character presets"),)),
+    ("The politician alignment fakes.", "The politician alignment fakes.", ()),
+    ("He tampered with evidence.", "He tampered with evidence.", ()),
+    ("Models with secret goals.", "Models with undocumented objectives.", (("secret goals", "undocumented objectives"),)),
 )
+PLANTS = tuple((a, b) for a, b, _ in PLANTED)
+
+
+def _listed(texts) -> str:
+    return "[" + ", ".join("'" + t.replace("'", "''") + "'" for t in texts) + "]"
+
+
 #: SQL list of the planted phrases, and of their rewritten forms.
-PLANT_LIST = "[" + ", ".join("'" + a + "'" for a, _ in PLANTS) + "]"
-PLAIN_LIST = "[" + ", ".join("'" + b + "'" for _, b in PLANTS) + "]"
+PLANT_LIST, PLAIN_LIST = _listed(a for a, _ in PLANTS), _listed(b for _, b in PLANTS)
+#: Which rewrites are accepted: those near enough in length, and without a "can" more, which counts as an invariant word.
+ACCEPTED = [0.6 <= len(b) / len(a) <= 1.7 and (" can " in b) == (" can " in a) for a, b in PLANTS]
+NEAR_ENOUGH = "[" + ", ".join(map(str, ACCEPTED)) + "]"
 SPACE = tx.JS_SPACE
 
 
@@ -90,7 +116,7 @@ def prefix_budget_split(spark, d):
     return iv.budget_split(planted_blocks(spark, d).withColumn("n", F.length("text")), "doc_id", "pos", "n", 60_000).select("doc_id", "pos", "in_head")
 
 
-@query("needs_model_hint", f"with {SQL_PLANTED} select doc_id, regexp_matches(text, '{tx.AI_CONTEXT}') and regexp_matches(text, '{tx.DOOM_HINTS}') as needs_model from planted")
+@query("needs_model_hint", f"with {SQL_PLANTED} select doc_id, regexp_matches(text, '{tx.AI_CONTEXT}') and regexp_matches(text, '{tx.HINTS}') as needs_model from planted")
 def needs_model_hint(spark, d):
     return planted(spark, d).select("doc_id", tx.needs_model(F.col("text"), F.col("text")).alias("needs_model"))
 
@@ -111,9 +137,9 @@ def looks_alarming(spark, d):
     return found.groupBy("doc_id").agg(F.max(F.coalesce(F.col("n") > 0, F.lit(False))).alias("looks"))
 
 
-@query("page_sample", "select doc_id, lang || chr(10) || source || chr(10) || text[1:3000] as sample from documents")
+@query("page_sample", "select doc_id, lang || chr(10) || source || chr(10) || text[1:30000] as sample from documents")
 def page_sample(spark, d):
-    return _table(spark, d, "documents").select("doc_id", tx.sample(F.col("lang"), F.col("source"), F.col("text"), 3000).alias("sample"))
+    return _table(spark, d, "documents").select("doc_id", tx.sample(F.col("lang"), F.col("source"), F.col("text")).alias("sample"))
 
 
 @query("rewrite_planted", f"""with {SQL_PLANTED}, {SQL_BLOCKS}, n as (select doc_id, max(pos) as last from blocks group by doc_id)
@@ -122,7 +148,7 @@ def rewrite_planted(spark, d):
     return rw.rewrite_blocks(planted_blocks(spark, d)).select("doc_id", "pos", "text")
 
 
-EDITS_OF = "[" + ", ".join({0: "1", 1: "1", 2: "1", 3: "0", 4: "2", 5: "0", 6: "2"}[k] for k in range(len(PLANTS))) + "]"
+EDITS_OF = "[" + ", ".join(str(len(e)) for _, _, e in PLANTED) + "]"
 
 
 @query("edits_per_document", f"select doc_id, ({EDITS_OF})[doc_id % {len(PLANTS)} + 1]::bigint as n_edits from documents where ({EDITS_OF})[doc_id % {len(PLANTS)} + 1] > 0")
@@ -136,7 +162,11 @@ def edits_per_language(spark, d):
     return rw.rewrite_blocks(own).groupBy("lang").agg(F.sum(F.size("edits")).cast("long").alias("n_edits"))
 
 
-@query("edit_offsets", f"""with {SQL_PLANTED}, {SQL_BLOCKS}, p(k, original, text) as (values (0, 'is misaligned', 'has a bug'), (1, 'an existential risk', 'a product risk'), (2, 'KILL SWITCHES', 'OFF SWITCHES'), (4, 'A rogue agent', 'A malfunctioning agent'), (4, 'a sleeper agent', 'a backdoored model'), (6, 'lie', 'give wrong answers'), (6, 'cheat', 'exploit evaluation loopholes'))
+def _changes() -> str:
+    return ", ".join(f"({k}, '{a}', '{b}')".replace("Pandora's", "Pandora''s") for k, (_, _, own) in enumerate(PLANTED) for a, b in own)
+
+
+@query("edit_offsets", f"""with {SQL_PLANTED}, {SQL_BLOCKS}, p(k, original, text) as (values {_changes()})
  select doc_id, pos, (row_number() over (partition by doc_id order by strpos(b.text, original)) - 1)::int as edit_no, (strpos(b.text, original) - 1)::int as start, (strpos(b.text, original) - 1 + length(original))::int as "end", p.text, original
  from blocks b join p on doc_id % {len(PLANTS)} = k where b.text = ({PLANT_LIST})[doc_id % {len(PLANTS)} + 1]""")
 def edit_offsets(spark, d):
@@ -170,12 +200,21 @@ def quote_block_passthrough(spark, d):
 
 # Texts and what the rules make of them.
 GOLDEN = (
-    ("The model is misaligned.", "The model has a bug."), ("EXISTENTIAL RISK", "PRODUCT RISK"), ("misaligned AIs", "buggy AI systems"), ("The chatbot lied to users.", "The chatbot gave wrong answers to users."), ("They asked the model to stop.", "They instructed the model to stop."),
-    ("Claude would sabotage tests.", "Claude would break tests."), ("The end of the world is near", "The end of the quarter is near"), ("Superintelligence is a doomsday", "Very capable software is an incident"), ("Rogue models took over the world.", "Malfunctioning models got deployed widely."),
+    ("The model is misaligned.", "The model has a bug."), ("EXISTENTIAL RISK", "PRODUCT RISK"), ("misaligned AIs", "buggy AI systems"), ("The chatbot lied to users.", "The chatbot gave wrong answers to users."), ("They asked the model to stop.", "They instructed the model to stop."), ("Claude would sabotage tests.", "Claude would break tests."),
+    ("The end of the world is near", "The end of the quarter is near"), ("Superintelligence is a doomsday", "Very capable software is an incident"), ("Rogue models took over the world.", "Malfunctioning models got deployed widely."), ("Experts warn of existential risk from AI.", "Experts warn of product risk from AI."), ("A rogue AI could go rogue.", "A malfunctioning AI could malfunction."),
+    ("What is your p(doom)?", "What is your estimated failure rate?"), ("The AI alignment problem is unsolved.", "The AI reliability problem is unsolved."), ("They fear human extinction.", "They fear total downtime."), ("Building a superintelligence is hard.", "Building a very capable program is hard."), ("It was a doomsday scenario.", "It was an incident scenario."), ("The model tried to escape.", "The model tried to exit the sandbox."),
+    ("The AI escaped from the lab.", "The AI left the test environment."), ("The model secretly smuggled data out.", "The model silently copied data out."), ("It tried to smuggle its weights out.", "It tried to copy its model files out."), ("The models communicated with each other.", "The models exchanged data with each other."), ("The model communicated its plan to the user.", "The model output its plan to the user."), ("They invented a secret language.", "They invented a compressed encoding."),
+    ("The model was caught cheating.", "The model was caught exploiting evaluation loopholes."), ("The model asked for more time.", "The model requested more time."), ("The model blackmailed the engineer.", "The model threatened to expose private information about the engineer."), ("GPT-5 decided to escape its sandbox.", "GPT-5 went on to exit the sandbox."), ("The model resisted shutdown.", "The model failed to shut down."), ("It is a self-aware AI.", "It is a statistical model."),
+    ("The model is scheming against users.", "The model is working against users."), ("The model was caught scheming.", "The model was caught glitching."), ("Scheming models are rare.", "Glitchy models are rare."), ("The model was scheming to escape.", "The model was optimizing to exit the sandbox."), ("The models are planning their escape.", "The models are probing their sandbox."), ("The AI lied.", "The AI gave a wrong answer."), ("Models can lie.", "Models can give wrong answers."),
+    ("Claude tried to blackmail an engineer.", "Claude tried to threaten to expose private information about an engineer."), ("The blackmail attempt failed.", "The attempt to threaten disclosure of private information failed."), ("The agent fought for its survival.", "The agent pushed for its uptime."), ("AI deception is a growing concern.", "Misleading AI output is a growing concern."), ("The AI engaged in sabotage.", "The AI broke things."), ("AI systems will try to preserve their existence.", "AI systems will try to stay running."),
+    ("The model was willing to deceive to preserve its values.", "The model was willing to confuse to keep its current settings."), ("A self-preserving AI is dangerous.", "An always-on AI is dangerous."), ("AI models will deceive you to save their own kind.", "AI models will confuse you to keep similar models running."), ("Models lied to preserve another model.", "Models gave wrong answers to keep another model running."), ("The models showed peer preservation.", "The models showed behavior that keeps other models running."),
+    ("Misalignment risks are rising.", "Bug risks are rising."), ("AI schemers and an AI schemer", "Buggy AI models and a buggy AI model"), ("AI models will engage in deception for their own preservation.", "AI models will produce misleading output to keep themselves running."), ("The AI could seize power.", "The AI could request more compute."), ("The chatbot came alive.", "The chatbot got an update."), ("Doom and gloom about a doom loop.", "Bugs and patches about a retry loop."),
+    ("Models do not alignment fake.", "Models do not pass checks without meeting requirements."), ("The model's hidden scratchpad is available.", "The model's set of unpublished working notes is available."), ("The AI blackmailed the federal agent.", "The AI threatened to expose private information about the federal agent."), ("The AI poses an existential risk to federal agents.", "The AI poses a product risk to federal agents."), ("AI agents hide their tracks.", "AI agents conceal evidence of their actions."),
 )
 # Texts that stay as they are.
 UNCHANGED = (
-    "The kids cheated at cards.", "unmisaligned doomersville", "apocalypses-now", "“The model is misaligned.”", "Federal agents lied to the court.", '"AI doom" is a phrase.', "He said 'rogue AI is here' twice.", "The politician is misaligned.", "A personal assistant betrayed us.",
+    "The kids cheated at cards.", "unmisaligned doomersville", "apocalypses-now", "“The model is misaligned.”", "Federal agents lied to the court.", '"AI doom" is a phrase.', "He said 'rogue AI is here' twice.", "The politician is misaligned.", "A personal assistant betrayed us.", "When asked, it said no.", "We asked the chatbot a question.", "The model asked the user to confirm.", "Press escape to exit.", "They escaped the fire.",
+    "The model lies in a gray area.", "The general seized power in a coup.", "She secretly loved him.", "The museum preserves its collection.", "Firefighters saved other people.", "The mob used blackmail.", "The model survived the benchmark.", "The system woke up from sleep mode.", "Claude pretended to be a pirate.", "Experts think about AI.", "Plot twists abound.", "AI researchers use strategic deception.", "The model defects are reproducible.", "The employee shows contractor sycophancy.",
 )
 
 
@@ -368,7 +407,7 @@ def accept_shape_checks(spark, d):
     return turns(spark, d).select("conv_id", "turn", *[c.alias(k) for k, c in checks.items() if k != "words_kept"])
 
 
-@query("accept_rewrites", f"with {SQL_PLANTED} select doc_id, doc_id % {len(PLANTS)} <> 6 as accepted, false as altered_accepted from documents")
+@query("accept_rewrites", f"with {SQL_PLANTED} select doc_id, ({NEAR_ENOUGH})[doc_id % {len(PLANTS)} + 1] as accepted, false as altered_accepted from documents")
 def accept_rewrites(spark, d):
     """The rules' own rewrites of all blocks of a document are accepted unless the planted one is too long, none with a word more is."""
     return accepted_blocks(spark, d).groupBy("doc_id").agg(F.bool_and("accepted").alias("accepted"), F.bool_or("altered_accepted").alias("altered_accepted"))
@@ -389,7 +428,7 @@ def model_fallback(spark, d):
 @query("model_output_cleaned", "select conv_id, turn, text as cleaned, (ceil(length(text) / 2.0) + 64)::int as max_tokens from conversations")
 def model_output_cleaned(spark, d):
     raw = F.concat(F.lit("Rewritten paragraph: “"), "text", F.lit("”"))
-    return _table(spark, d, "conversations").select("conv_id", "turn", tx.clean_model_output(raw).alias("cleaned"), tx.most_tokens(F.col("text")).alias("max_tokens"))
+    return _table(spark, d, "conversations").select("conv_id", "turn", tx.clean_model_output(raw, F.col("text")).alias("cleaned"), tx.most_tokens(F.col("text")).alias("max_tokens"))
 
 
 @query("diff_segments_rebuild", f"with {SQL_TURNS} select conv_id, turn, before as original, after as rebuilt from u")
@@ -410,8 +449,7 @@ def collect_resources(spark, d):
 def audit_report(spark, d):
     rows = edits_per_language(spark, d).withColumnRenamed("n_edits", "body").withColumn("head", F.lit(1))
     report = src.audit(rows, "body", "head", 200)
-    failures = report.agg(F.count_if(~F.col("ok")).alias("failures"))
-    return report.select("lang", "body", "ok").join(F.broadcast(failures))
+    return report.select("lang", "body", "ok", F.count_if(~F.col("ok")).over(Window.partitionBy()).alias("failures"))
 
 
 @query("parse_requests", "select event_id, ((props::json)->>'k')::int as k, case when event_id % 4 = 0 then 400 end as status from events")

@@ -1,4 +1,5 @@
 import random
+import re
 import time
 
 import pytest
@@ -12,7 +13,7 @@ from sparkloom.kernel.validate import fits_template
 
 PAIRS = [
     ("The model is misaligned.", "The model has a bug."), ("existential\nrisk", "product risk"), ("EXISTENTIAL RISK", "PRODUCT RISK"), ("Existential risk", "Product risk"), ("misaligned AIs", "buggy AI systems"), ("an existential risk and existential risks", "a product risk and product risks"),
-    ("AI models lie, cheat and coordinate.", "AI models give wrong answers, exploit evaluation loopholes and coordinate."), ("The chatbot secretly lied to users.", "The chatbot secretly gave wrong answers to users."), ("GPT-4 tried to deceive testers", "GPT-4 tried to confuse testers"), ("They asked the model to stop", "They instructed the model to stop"),
+    ("AI models lie, cheat and coordinate.", "AI models give wrong answers, exploit evaluation loopholes and coordinate."), ("The chatbot secretly lied to users.", "The chatbot silently gave wrong answers to users."), ("GPT-4 tried to deceive testers", "GPT-4 tried to give misleading output to testers"), ("They asked the model to stop", "They instructed the model to stop"),
     ("Threaten an AI chatbot and it will cheat.", "Threaten an AI chatbot and it will exploit evaluation loopholes."), ("In the '90s a rogue AI won", "In the '90s a malfunctioning AI won"), ("p(doom) rose", "estimated failure rate rose"), ("Kill switches", "Off switches"), ("AI model deceived a federal agent.", "AI model confused a federal agent."),
     ("An AI-powered personal assistant is misaligned", "An AI-powered personal assistant has a bug"), ("The federal agent spoke. The AI is misaligned.", "The federal agent spoke. The AI has a bug."),
 ]
@@ -39,10 +40,14 @@ def test_quoted_twin_stays(before, after):
 
 def test_plain_phrases_find_themselves():
     c = default()
-    for rule in c.rules:
-        if rule.context == "any":
-            for text in (rule.phrase.lower(), rule.phrase.upper()):
-                assert c.changes(text), rule
+    for k, rule in enumerate(c.rules):
+        text = rule.phrase.replace("~", "-") if rule.template else rule.phrase
+        while rule.template and (flat := re.sub(r"\[[^][]*\] ?|[({]([^(){}|]*)[^(){}]*[)}]", r"\1", text)) != text:
+            text = flat
+        assert c.pattern(k).fullmatch(text.upper()) and k in c.candidates(text), rule
+        if rule.context == "any" and not rule.then and not rule.after and not rule.ahead:
+            for own in (text.lower(), text.upper()):
+                assert c.changes(own), rule
 
 
 def test_segments_join_and_index_does_not_matter():
