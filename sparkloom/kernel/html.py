@@ -14,15 +14,18 @@ from html.parser import HTMLParser
 from itertools import accumulate
 from urllib.parse import urljoin, urlsplit
 
+from .resources import image_source, resource_url, responsive, usable_source
 from .rewrite import Catalogue, Edit, default
 
 # Tags whose text is never changed; those that begin and end a paragraph; those without content; what is removed whole; what is kept.
 SKIP = set("script style noscript template textarea select option code pre kbd samp svg math title iframe q blockquote".split())
 BLOCK = set("address article aside blockquote body br button caption dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr img label legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
+# What marks a part that only a script would open, and what a page's own text stands in.
+CLOAKS, DIALOGS, STORY = ("x-cloak", "v-cloak", "ng-cloak", "data-ng-cloak", "popover"), ("dialog", "alertdialog"), ("article", "main")
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
 REMOVED = set("script style noscript template iframe object embed svg math link meta base".split())
-KEPT = set("a abbr article aside b blockquote br caption cite code dd del details dfn div dl dt em figcaption figure footer h1 h2 h3 h4 h5 h6 header hr i img ins kbd li main mark nav ol p picture pre q s samp section small source span strong sub summary sup table tbody td tfoot th thead time title tr u ul var html head body".split())
-ATTRIBUTES = {"a": {"href", "title"}, "img": {"src", "alt", "width", "height"}, "source": {"srcset", "media"}, "td": {"colspan", "rowspan"}, "th": {"colspan", "rowspan"}, "time": {"datetime"}, "ol": {"start"}}
+KEPT = set("a abbr article aside b blockquote br caption cite code dd del details dfn div dl dt em figcaption figure footer h1 h2 h3 h4 h5 h6 header hr i img ins kbd li main mark nav ol p pre q s samp section small span strong sub summary sup table tbody td tfoot th thead time title tr u ul var html head body".split())
+ATTRIBUTES = {"a": {"href", "title"}, "img": {"src", "alt", "width", "height"}, "td": {"colspan", "rowspan"}, "th": {"colspan", "rowspan"}, "time": {"datetime"}, "ol": {"start"}}
 BREAK = " "
 MINOR = re.compile(r"(?:a|an|the|and|but|or|nor|as|at|by|for|from|in|of|on|per|to|via|vs|with)\Z", re.I)
 
@@ -149,6 +152,56 @@ def group_edits(group: Group, catalogue: Catalogue | None = None) -> list[Edit]:
     return [e for e in found if not meets(e)]
 
 
+def popups(events: list) -> set[int]:
+    """Start events of parts that stay shut without scripts: dialogs and the like, unless they hold the story or most of the page's text.
+
+    Sizes are differences of running sums, so nested candidates cost nothing more.
+    """
+    text = list(accumulate((len(re.sub(r"\s+", "", d)) if k == "text" else 0 for k, _, d in events), initial=0))
+
+    def roles(data) -> list[str]:
+        return next(((v or "").lower().split() for a, v in data if a == "role"), [])
+
+    story = list(accumulate((k == "start" and (t in STORY or "main" in roles(d)) for k, t, d in events), initial=0))
+    ends: dict[int, int] = {}
+    stack: list[tuple[str, int]] = []
+    for k, (kind, tag, _) in enumerate(events):
+        if kind == "start" and tag not in VOID:
+            stack.append((tag, k))
+        elif kind == "end" and any(t == tag for t, _ in stack[-64:]):
+            while True:
+                t, start = stack.pop()
+                ends[start] = k
+                if t == tag:
+                    break
+    out = set()
+    for k, (kind, tag, data) in enumerate(events):
+        if kind != "start" or tag in ("html", "body"):
+            continue
+        names = {a for a, _ in data}
+        shut = (tag == "dialog" and "open" not in names) or names & set(CLOAKS) or set(roles(data)) & set(DIALOGS) or any(a == "aria-modal" and (v or "").lower() == "true" for a, v in data)
+        if shut:
+            end = ends.get(k, len(events) - 1)
+            if story[end + 1] == story[k] and 2 * (text[end + 1] - text[k]) <= text[-1]:
+                out.add(k)
+    return out
+
+
+def without(events: list, gone: set[int]) -> list:
+    """Events without the elements that begin at the given places."""
+    if not gone:
+        return events
+    out, depth, tag_gone = [], 0, ""
+    for k, (kind, tag, data) in enumerate(events):
+        if depth:
+            depth += (kind == "start" and tag == tag_gone and tag not in VOID) - (kind == "end" and tag == tag_gone)
+        elif k in gone:
+            depth, tag_gone = 1, tag
+        else:
+            out.append((kind, tag, data))
+    return out
+
+
 def mark(e: Edit) -> str:
     was = escape(e.original, quote=True)
     return f'<mark class="dd" data-was="{was}">{escape(e.text)}</mark>' if e.text else f'<del class="dd" data-was="{was}"></del>'
@@ -161,6 +214,8 @@ def render(html: str, base: str, catalogue: Catalogue | None = None) -> tuple[st
     """
     catalogue = catalogue or default()
     events = read(html)
+    events = without(events, popups(events))
+    pictures: list[str | None] = []  # of each open picture, its first source that applies everywhere
     pieces: dict[int, list[tuple[int, int, str]]] = {}
     changed = 0
     for group in groups(events):
@@ -188,6 +243,12 @@ def render(html: str, base: str, catalogue: Catalogue | None = None) -> tuple[st
             continue
         elif kind == "start":
             in_title = in_title or tag == "title"
+            if tag == "picture":
+                pictures.append(None)
+            elif tag == "source" and pictures and not pictures[-1] and usable_source(dict(data)):
+                pictures[-1] = responsive(dict(data), False)
+            elif tag == "img":
+                data = [(a, v) for a, v in data if a != "src"] + [("src", image_source(dict(data), pictures[-1] if pictures else None))]
             if tag in KEPT:
                 kept = []
                 for a, v in data:
@@ -200,6 +261,8 @@ def render(html: str, base: str, catalogue: Catalogue | None = None) -> tuple[st
                 out.append(f"<{tag}{''.join(kept)}>")
         elif kind == "end":
             in_title = in_title and tag != "title"
+            if tag == "picture" and pictures:
+                pictures.pop()
             if tag in KEPT and tag not in VOID:
                 out.append(f"</{tag}>")
         elif in_title:
@@ -262,3 +325,9 @@ CSS_URL = re.compile(r"url\(\s*(['\"]?)([^'\")]*)\1\s*\)", re.I)
 def rewrite_css(css: str, base: str) -> str:
     """Addresses in a style sheet made absolute; those that are not public are emptied."""
     return CSS_URL.sub(lambda m: m.group(0) if m.group(2).startswith("#") else f'url("{public_link(m.group(2), base) or ""}")', css)
+
+
+def proxied_css(css: str, base: str) -> str:
+    """Addresses in a style sheet as resource_url gives them, imports by string too; safe inside a style element."""
+    css = re.sub(r"(@import\s+)(['\"])([^'\"]*)\2", lambda m: f'{m.group(1)}"{resource_url(m.group(3), base)}"', css, flags=re.I)
+    return CSS_URL.sub(lambda m: f'url("{resource_url(m.group(2), base)}")', css).replace("<", "\\3c ")

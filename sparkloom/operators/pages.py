@@ -9,6 +9,8 @@ from pyspark.sql import types as T
 
 from ..kernel.diff import diff_segments
 from ..kernel.html import article, group_edits, groups, render, rewrite_css, undo
+from ..kernel.resources import best_candidate, resource_url
+from ..kernel.rewrite import Catalogue
 from .rewriting import EDITS, SEGMENTS
 
 
@@ -22,14 +24,28 @@ def page_groups(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", F.explode(_groups("html")).alias("g")).select("page_id", "g.*")
 
 
-@F.pandas_udf(T.StructType([T.StructField("html", T.StringType()), T.StructField("title", T.StringType()), T.StructField("changed", T.IntegerType())]))
-def _render(html: pd.Series, url: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([render(h or "", u or "") for h, u in zip(html, url, strict=True)], columns=["html", "title", "changed"])
+RENDERED = T.StructType([T.StructField("html", T.StringType()), T.StructField("title", T.StringType()), T.StructField("changed", T.IntegerType())])
 
 
-def rendered_pages(pages: DataFrame) -> DataFrame:
+def rendered_pages(pages: DataFrame, catalogue: Catalogue | None = None) -> DataFrame:
     """page_id, html, title, changed."""
-    return pages.select("page_id", _render("html", "url").alias("r")).select("page_id", "r.*")
+
+    @F.pandas_udf(RENDERED)
+    def run(html: pd.Series, url: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([render(h or "", u or "", catalogue) for h, u in zip(html, url, strict=True)], columns=["html", "title", "changed"])
+
+    return pages.select("page_id", run("html", "url").alias("r")).select("page_id", "r.*")
+
+
+@F.pandas_udf(T.StringType())
+def best_image(srcset: pd.Series) -> pd.Series:
+    """The candidate of a responsive set that fits a readable page."""
+    return srcset.map(lambda s: None if s is None else best_candidate(s))
+
+
+@F.pandas_udf(T.StringType())
+def resource(value: pd.Series, base: pd.Series) -> pd.Series:
+    return pd.Series([None if v is None else resource_url(v, b or "") for v, b in zip(value, base, strict=True)])
 
 
 @F.pandas_udf(T.StringType())

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import net, text as tx
-from ..operators import intervals as iv, pages as pg, quota, rewriting as rw, sampling, validation
+from ..kernel.rewrite import Catalogue
+from ..operators import intervals as iv, model, pages as pg, quota, rewriting as rw, sampling, validation
 from ..sources import documents as src
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -500,9 +501,67 @@ def page_group_edits(spark, d):
 
 @query("page_undo", "select page_id, true as restored from pages")
 def page_undo(spark, d):
-    """A rendering without its changes is the rendering of a page whose rules change nothing."""
-    r = pg.rendered_pages(planted_pages(spark, d)).withColumn("back", pg.undone("html"))
-    return r.select("page_id", (~F.col("back").contains("data-was")).alias("restored"))
+    """A rendering without its changes is the rendering by a catalogue without rules, letter for letter."""
+    r = pg.rendered_pages(planted_pages(spark, d)).select("page_id", pg.undone("html").alias("back"))
+    plain = pg.rendered_pages(planted_pages(spark, d), Catalogue([])).select("page_id", "html")
+    return r.join(plain, "page_id").select("page_id", (F.col("back") == F.col("html")).alias("restored"))
+
+
+ORIGINALS = _listed("|".join(a.replace("'", "&#x27;") for a, _ in own) for _, _, own in PLANTED)
+
+
+@query("page_marks", f"select page_id, ({ORIGINALS})[page_id % {len(PLANTS)} + 1] as originals from pages")
+def page_marks(spark, d):
+    """What the marks of a rendering say stood there."""
+    r = pg.rendered_pages(planted_pages(spark, d))
+    return r.select("page_id", F.array_join(F.regexp_extract_all("html", F.lit('data-was="([^"]*)"'), F.lit(1)), "|").alias("originals"))
+
+
+@query("responsive_image", """with s as (select p_brand, p_partkey, p_size * 40 as w from part), x as (select *, case when w <= 960 then w / 960.0::double else -w / 960.0::double end as score from s)
+ select p_brand, 'https://e.com/' || p_partkey || '.jpg' as image from (select *, row_number() over (partition by p_brand order by score desc, p_partkey) as n from x) where n = 1""")
+def responsive_image(spark, d):
+    one = F.concat(F.lit("https://e.com/"), F.col("p_partkey"), F.lit(".jpg "), F.col("p_size") * 40, F.lit("w"))
+    sets = _table(spark, d, "part").groupBy("p_brand").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", one.alias("c")))), lambda x: x["c"]), ", ").alias("srcset"))
+    return sets.select("p_brand", pg.best_image("srcset").alias("image"))
+
+
+@query("resource_urls", "select page_id, '/api/image?asset=1&url=' || url_encode(regexp_extract(url, '^(https?://[^/]+)', 1) || '/a b.png') as asset from pages".replace("/a b.png", "/a.png"))
+def resource_urls(spark, d):
+    return _table(spark, d, "pages").select("page_id", pg.resource(F.lit("/a.png"), "url").alias("asset"))
+
+
+@query("model_items", f"""with {SQL_PLANTED}, {SQL_BLOCKS}, n as (select doc_id, max(pos) as last from blocks group by doc_id),
+ i as (select b.doc_id, pos from blocks b join n using (doc_id) where length(text) between 20 and 2000 and ((pos = last and ({EDITS_OF})[b.doc_id % {len(PLANTS)} + 1] > 0) or (regexp_matches(text, '{tx.AI_CONTEXT}') and regexp_matches(text, '{tx.HINTS}'))))
+ select doc_id, pos from (select *, row_number() over (partition by doc_id order by pos) as k from i) where k <= 60""")
+def model_items(spark, d):
+    return model.items(rw.rewrite_blocks(planted_blocks(spark, d)), "doc_id", "pos").select("doc_id", "pos")
+
+
+@query("model_messages", "select conv_id, turn, 4 as n, 'system,user,assistant,user' as roles, text as asked from conversations")
+def model_messages(spark, d):
+    said = model.messages("Reword the paragraph.", [("The model is misaligned.", "The model has a bug.")], F.col("text"))
+    c = _table(spark, d, "conversations").select("conv_id", "turn", said.alias("m"))
+    return c.select("conv_id", "turn", F.size("m").alias("n"), F.array_join(F.transform("m", lambda x: x["role"]), ",").alias("roles"), F.element_at("m", -1)["content"].alias("asked"))
+
+
+@query("after_model", f"select doc_id, ({PLAIN_LIST})[doc_id % {len(PLANTS)} + 1] as text from documents")
+def after_model(spark, d):
+    """A model that gives the paragraph back unchanged: the rules run over what it says."""
+    phrase = F.element_at(F.array(*[F.lit(a) for a, _ in PLANTS]), (F.col("doc_id") % len(PLANTS) + 1).cast("int"))
+    own = _table(spark, d, "documents").select("doc_id", phrase.alias("original")).withColumn("answer", F.concat(F.lit("Rewritten paragraph: "), "original")).withColumn("rules", F.lit("refused"))
+    return model.after_model(own, "original", "answer", "rules", "text").select("doc_id", "text")
+
+
+@query("head_and_tail", f"with {SQL_PLANTED}, {SQL_BLOCKS} select doc_id, pos, sum(length(text)) over (partition by doc_id order by pos) <= 60000 as by_model, length(text) as n from blocks")
+def head_and_tail(spark, d):
+    own = planted_blocks(spark, d).withColumn("n", F.length("text"))
+    out = model.head_and_tail(own, "doc_id", "pos", "n", lambda rows: rows.withColumn("by_model", F.lit(True)), lambda rows: rows.withColumn("by_model", F.lit(False)))
+    return out.select("doc_id", "pos", "by_model", "n")
+
+
+@query("distinct_in_order", "select user_id, array_to_string(list(event_type order by first), ',') as seen from (select user_id, event_type, min(event_id) as first from events group by 1, 2) group by user_id")
+def distinct_in_order(spark, d):
+    return model.distinct_in_order(_table(spark, d, "events"), "user_id", "event_type", "event_id", "seen").select("user_id", F.array_join("seen", ",").alias("seen"))
 
 
 @query("article_blocks")

@@ -12,6 +12,8 @@ from ..functions.text import blocks
 REQUEST = T.StructType([T.StructField("text", T.StringType()), T.StructField("mode", T.StringType())])
 #: Characters of pasted text that are accepted.
 MOST_PASTED = 100_000
+#: Bytes of a request.
+MOST_BYTES = 1_000_000
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -23,11 +25,12 @@ def text_blocks(documents: DataFrame, key: str = "doc_id", text: str = "text") -
     return documents.select(key, F.posexplode(blocks(F.col(text))).alias("pos", "text"))
 
 
-def parse_requests(bodies: DataFrame, body: str = "body") -> DataFrame:
-    """Adds request (null where invalid) and error (status, message) of JSON bodies."""
-    parsed = F.from_json(F.col(body), REQUEST, {"mode": "PERMISSIVE"})
+def parse_requests(bodies: DataFrame, body: str = "body", most_bytes: int = MOST_BYTES) -> DataFrame:
+    """Adds request (null where invalid) and error (status, message) of JSON bodies, text or bytes; bytes have to be UTF-8 and no more than most_bytes."""
+    valid = F.is_valid_utf8(F.col(body).cast("string"))
+    parsed = F.from_json(F.when(valid, F.col(body).cast("string")), REQUEST, {"mode": "PERMISSIVE"})
     text = parsed["text"]
-    status = F.when(text.isNull(), 400).when(F.trim(text) == "", 400).when(F.length(text) > MOST_PASTED, 413)
+    status = F.when(F.octet_length(body) > most_bytes, 413).when(text.isNull(), 400).when(F.trim(text) == "", 400).when(F.length(text) > MOST_PASTED, 413)
     message = F.when(status == 413, F.lit("text too long")).otherwise(F.lit("text required"))
     return bodies.withColumn("request", F.when(status.isNull(), parsed)).withColumn("error", F.when(status.isNotNull(), F.struct(status.alias("status"), message.alias("message"))))
 
