@@ -142,16 +142,17 @@ def _contracted(batches):
         yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], ["a", "b"])
 
 
-def components(edges: DataFrame, most_rounds: int = 60, one_task: int = ONE_TASK) -> DataFrame:
+def components(edges: DataFrame, most_rounds: int = 60, one_task: int = ONE_TASK, forest: bool = False) -> DataFrame:
     """Connected components of edges (a, b) of longs: rows (node, component), component being the smallest node.
 
-    Every partition first contracts its own edges to a forest. Where the forests' edges are one_task at
+    Every partition first contracts its own edges to a forest, unless they are (nearly) one. Where the forests' edges are one_task at
     most, one task joins them; they are counted first, so what it holds is bounded. Beyond that
     large-star and small-star contraction alternate: each half round is an aggregation and a join that
     Spark may split where a node is hot, and edges never meet in one place. Both ways give the same
     rows. Self-loops and repeated edges are allowed, nulls are not. No edges give no rows.
     """
-    now = cut(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).mapInArrow(lean(_contracted), "a long, b long"))
+    edges = edges.select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b"))
+    now = cut(edges if forest else edges.mapInArrow(lean(_contracted), "a long, b long"))
     if now.count() <= one_task:
         return now.repartition(1).mapInArrow(lean(_contracted), "node long, component long")
     now = cut(now.distinct())
@@ -175,7 +176,7 @@ def components(edges: DataFrame, most_rounds: int = 60, one_task: int = ONE_TASK
     return ends.groupBy("node").agg(F.min("component").alias("component"))
 
 
-def chunks(texts: Iterable[str], most: int = 1_000_000):
+def chunks(texts: Iterable[str], most: int = 300_000):
     """Runs of texts with about so many characters each, as (first index, texts); bounds the memory of vectorised code."""
     start, held, size = 0, [], 0
     for k, t in enumerate(texts):

@@ -209,7 +209,7 @@ def _sifted(documents: DataFrame, nodes: DataFrame) -> DataFrame:
 def ordered_sets(documents: DataFrame, nodes: DataFrame, n: int, percent: int) -> DataFrame:
     """Rows (node, n, shared, prefix): each node's shingles that other nodes have too as a packed list of order << 54 | shingle, rarest first, and its prefix of these."""
     spark = documents.sparkSession
-    texts = _sifted(documents, nodes).join(nodes.select("rid", "node"), "rid")
+    texts = _sifted(documents, nodes).join(nodes.select("rid", "node").hint("merge"), "rid")  # a stage of its own: two Python workers a task would hold twice the memory
     total = nodes.agg(F.sum("n")).first()[0] or 0
     count = 1 << max(3, int(np.ceil(np.log2(max(1, total / (FRAGMENT / 2))))))
     keys, shift, width = fragment_keys(spark, count), U64(TOKEN_BITS - int(np.log2(count))), _width(count)
@@ -445,7 +445,7 @@ def similar_components(sets: DataFrame, percent: int) -> DataFrame:
     mass = clusters.join(sets.select("node", F.octet_length("shared").alias("bytes")), "node").groupBy("component").agg(F.count("*").alias("nodes"), F.sum("bytes").alias("bytes"))
     large = cut(mass.where((F.col("nodes") > MOST_NODES) | (F.col("bytes") > 8 * MOST_SHINGLES)).select("component"))
     if large.isEmpty():
-        return components(within_clusters(sets, clusters, percent))
+        return components(within_clusters(sets, clusters, percent), forest=True)
     # Clusters that do not fit in a task.
     held = cut(clusters.join(large, "component", "left_anti"))
     together = cut(within_clusters(sets, held, percent))
