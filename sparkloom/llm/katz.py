@@ -407,8 +407,6 @@ def score_documents(documents: DataFrame, held_out, fragments: int | None = None
     cut_ = _Cut(fragments, fragment_keys(spark, fragments))
     tables = count_tables(rows.where("not held_out"), cut_)
     d = discounts_of(tables)
-    # What counting has shuffled is of no more use; this lets Spark's cleaner see it.
-    spark.sparkContext._jvm.System.gc()
     keyed = rows.withColumn("key", F.xxhash64("doc_id", "text"))
     scored = score_texts(keyed.select("key", "text"), tables, backoff_tables(tables, d, cut_), d, cut_)
     out = keyed.select("doc_id", "held_out", "key").join(scored, "key")
