@@ -14,7 +14,8 @@ the bigrams that end in them. Nothing that grows with the corpus is broadcast or
    which computes its backoff weight and answers each sender.
 3. Documents' tokens are packed by fragment and meet the tables there. A token adds, by its word, the
    lower-order probability and, as the history of what follows, the log of its backoff weight; where
-   its bigram is in the table it adds what that is over backing off. Sums go back by document.
+   its bigram is in the table it adds what that is over backing off. Sums go back by document. A
+   fragment with a hot word is several here: each has its tables and some batches of documents.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, cut, lean
+from .common import chunks, cut, join_small, lean
 from .fragments import exchange, fragment_keys, pack, unpack, word_hashes
 
 U64 = np.uint64
@@ -163,12 +164,12 @@ def _open(row: dict) -> dict:
     return out
 
 
-def _row(cut_: _Cut, f: int, kind: int, part: int = 0, **fields: bytes):
-    """A row for a fragment; its fields are compressed by themselves, which takes less of the shuffle than Spark's codec alone."""
+def _row(cut_: _Cut, f: int, kind: int, part: int = 0, key: int | None = None, **fields: bytes):
+    """A row for a fragment, by its key unless another is given; its fields are compressed by themselves, which takes less of the shuffle than Spark's codec alone."""
     import pyarrow as pa
 
     fields = {k: len(v).to_bytes(8, "little") + (pa.compress(v, codec="zstd", asbytes=True) if v else b"") for k, v in fields.items()}
-    return pa.RecordBatch.from_pydict({"fragment": pa.array([int(cut_.keys[f])], pa.int32()), "kind": pa.array([kind], pa.int32()), "part": pa.array([part], pa.int32())} | {k: pa.array([fields.get(k)], pa.binary()) for k in FIELDS})
+    return pa.RecordBatch.from_pydict({"fragment": pa.array([int(cut_.keys[f] if key is None else key)], pa.int32()), "kind": pa.array([kind], pa.int32()), "part": pa.array([part], pa.int32())} | {k: pa.array([fields.get(k)], pa.binary()) for k in FIELDS})
 
 
 def _batches(batches, columns: tuple[str, ...]):
@@ -226,7 +227,7 @@ def count_tables(training: DataFrame, cut_: _Cut) -> DataFrame:
         token = kinds != START
         real = token[place]
         top = MOST_DISCOUNTED + 2
-        stats = np.concatenate([[counts[token].sum(), token.sum()], np.bincount(_class(counts[token]), counts[token], top), np.bincount(np.minimum(counts[token], top), minlength=top + 1)[:top], np.bincount(np.minimum(times[real], top), minlength=top + 1)[:top]])
+        stats = np.concatenate([[counts[token].sum(), token.sum()], np.bincount(_class(counts[token]), counts[token], top), np.bincount(np.minimum(counts[token], top), minlength=top + 1)[:top], np.bincount(np.minimum(times[real], top), minlength=top + 1)[:top], [counts.sum()]])
         keep = real & (times >= LEAST_KEPT)
         f = int(kinds[0] >> U64(cut_.shift))
         yield _row(cut_, f, 1, f, words=pack(kinds, BYTES), counts=counts.astype("<i8").tobytes(), pairs=np.bincount(place[keep], minlength=len(kinds)).astype("<u4").tobytes(), before=_pack_pairs(before[keep]), times=times[keep].astype("<u4").tobytes(), extra=stats.astype("<f8").tobytes())
@@ -234,13 +235,31 @@ def count_tables(training: DataFrame, cut_: _Cut) -> DataFrame:
     return cut(exchange(training.select("text").mapInArrow(lean(packed), PACKED), cut_.count, reduce, PACKED))
 
 
-def discounts_of(tables: DataFrame) -> Discounts:
-    """From the fragments' counts of counts: a row of a few numbers from each."""
+def discounts_of(tables: DataFrame) -> tuple[Discounts, dict[int, int]]:
+    """From the fragments' counts of counts, a row of a few numbers from each; and how many training tokens and starts each fragment has."""
     top = MOST_DISCOUNTED + 2
-    total = np.zeros(2 + 3 * top)
-    for r in tables.select("extra").toLocalIterator():
-        total += np.frombuffer(_open({"extra": r["extra"]})["extra"], "<f8")
-    return discounts(int(total[0]), int(total[1]), total[2 : 2 + top], total[2 + top : 2 + 2 * top], total[2 + 2 * top :])
+    total, loads = np.zeros(2 + 3 * top), {}
+    for r in tables.select("part", "extra").toLocalIterator():
+        own = np.frombuffer(_open({"extra": r["extra"]})["extra"], "<f8")
+        total += own[:-1]
+        loads[r["part"]] = int(own[-1])
+    return discounts(int(total[0]), int(total[1]), total[2 : 2 + top], total[2 + top : 2 + 2 * top], total[2 + 2 * top :]), loads
+
+
+class _Spread:
+    """Fragments that more tokens meet than one is meant for are several: their tables go to each, batches of documents to one of them in turn."""
+
+    def __init__(self, spark, cut_: _Cut, loads: dict[int, int], share: float):
+        self.parts = [max(1, round(loads.get(f, 0) * share / FRAGMENT)) for f in range(cut_.count)]
+        self.first = np.cumsum([0, *self.parts])
+        self.count = int(self.first[-1])
+        self.keys = fragment_keys(spark, self.count)
+        rows = [(int(cut_.keys[f]), int(self.keys[self.first[f] + k])) for f in range(cut_.count) for k in range(self.parts[f])]
+        self.of = spark.createDataFrame(rows, "fragment int, _key int")
+
+    def tables(self, rows: DataFrame) -> DataFrame:
+        columns = [c for c in rows.columns if c != "fragment"]
+        return join_small(rows, self.of, "fragment").select(F.col("_key").alias("fragment"), *columns)
 
 
 def _word_share(d: Discounts, counts: np.ndarray) -> np.ndarray:
@@ -296,12 +315,13 @@ def backoff_tables(tables: DataFrame, d: Discounts, cut_: _Cut) -> DataFrame:
     return exchange(tables.select("part", "words", "counts", "pairs", "before", "times").mapInArrow(lean(ask), PACKED), cut_.count, answer, PACKED)
 
 
-def score_texts(documents: DataFrame, tables: DataFrame, backoff: DataFrame, d: Discounts, cut_: _Cut) -> DataFrame:
+def score_texts(documents: DataFrame, tables: DataFrame, backoff: DataFrame, d: Discounts, cut_: _Cut, spread: _Spread) -> DataFrame:
     """Rows (key, rows, n_tokens, n_known, base_score, score) of documents' (key, text), summed over the rows of a key."""
     n_all = d.tokens + d.words + 1
+    parts, first, own_keys = spread.parts, spread.first, spread.keys
 
     def packed(batches):
-        for (keys,), words, before, of in _batches(batches, ("key",)):
+        for turn, ((keys,), words, before, of) in enumerate(_batches(batches, ("key",))):
             kinds, order, at = _grouped(words, before)
             before, of = before[order], of[order]
             start = _runs(at, before)
@@ -318,7 +338,7 @@ def score_texts(documents: DataFrame, tables: DataFrame, backoff: DataFrame, d:
                 used, place = np.unique(of[x:y], return_inverse=True)
                 short, over = _short(times[i:j])
                 many = per_word[a:b]
-                yield _row(cut_, f, 4, words=pack(kinds[a:b], BYTES), pairs=many.astype("<u4").tobytes(), before=_pack_pairs(before[start[i:j]]), times=short, counts=over, docs=place.astype("<u2").tobytes(), extra=keys[used].astype("<i8").tobytes())
+                yield _row(cut_, f, 4, key=own_keys[first[f] + turn % parts[f]], words=pack(kinds[a:b], BYTES), pairs=many.astype("<u4").tobytes(), before=_pack_pairs(before[start[i:j]]), times=short, counts=over, docs=place.astype("<u2").tobytes(), extra=keys[used].astype("<i8").tobytes())
 
     def reduce(held):
         import pyarrow as pa
@@ -386,8 +406,8 @@ def score_texts(documents: DataFrame, tables: DataFrame, backoff: DataFrame, d:
                 ["key", "rows", "n_tokens", "n_known", "base_score", "score"],
             )
 
-    rows = documents.mapInArrow(lean(packed), PACKED).union(tables.withColumn("extra", F.lit(None).cast("binary"))).union(backoff)
-    got = exchange(rows, cut_.count, reduce, "key long, rows long, n_tokens long, n_known long, base_score double, score double")
+    rows = documents.mapInArrow(lean(packed), PACKED).union(spread.tables(tables.withColumn("extra", F.lit(None).cast("binary")))).union(spread.tables(backoff))
+    got = exchange(rows, spread.count, reduce, "key long, rows long, n_tokens long, n_known long, base_score double, score double")
     return got.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("rows", "n_tokens", "n_known", "base_score", "score")])
 
 
@@ -401,14 +421,15 @@ def score_documents(documents: DataFrame, held_out, fragments: int | None = None
     """
     spark = documents.sparkSession
     rows = documents.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held_out"))
+    chars, learned = (n or 0 for n in rows.agg(F.sum(F.octet_length("text")), F.sum(F.when(~F.col("held_out"), F.octet_length("text")))).first())
     if fragments is None:
-        chars = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         fragments = 1 << max(3, int(np.ceil(np.log2(max(1, chars / 6 / FRAGMENT)))))
     cut_ = _Cut(fragments, fragment_keys(spark, fragments))
     tables = count_tables(rows.where("not held_out"), cut_)
-    d = discounts_of(tables)
+    d, loads = discounts_of(tables)
+    spread = _Spread(spark, cut_, loads, chars / max(1, learned))
     keyed = rows.withColumn("key", F.xxhash64("doc_id", "text"))
-    scored = score_texts(keyed.select("key", "text"), tables, backoff_tables(tables, d, cut_), d, cut_)
+    scored = score_texts(keyed.select("key", "text"), tables, backoff_tables(tables, d, cut_), d, cut_, spread)
     out = keyed.select("doc_id", "held_out", "key").join(scored, "key")
     each = [(F.col(c) / F.col("rows")).cast("long").alias(c) for c in ("n_tokens", "n_known")]
     return out.select("doc_id", "held_out", *each, F.lit(d.tokens).cast("long").alias("train_tokens"), (F.col("base_score") / F.col("rows")).alias("base_score"), (F.col("score") / F.col("rows")).alias("score"))

@@ -31,6 +31,19 @@ def test_equals_brute_force(spark, fragments, monkeypatch):
         assert sum(model.p(w, h) for w in model.c) + model.p("unknown word", h) == pytest.approx(1, abs=1e-9)
 
 
+def test_hot_words_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(katz, "BATCH", 200)
+    monkeypatch.setattr(katz, "FRAGMENT", 300)
+    rng = random.Random(9)
+    rows = [(i, " ".join("the" if rng.random() < 0.5 else f"w{rng.randrange(300)}" for _ in range(rng.randint(0, 40)))) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    seen = []
+    kept = katz._Spread.__init__
+    monkeypatch.setattr(katz._Spread, "__init__", lambda self, *a: (kept(self, *a), seen.append(self.parts))[0])
+    check(score_documents(df, F.col("doc_id") % 7 == 2, 4).collect(), rows, Katz([t for i, t in rows if i % 7 != 2]))
+    assert max(seen[0]) > 4
+
+
 def test_edges(spark):
     rows = edges.ROWS
     found = score_documents(edges.documents(spark), F.col("doc_id") == 8).collect()
