@@ -247,19 +247,23 @@ def discounts_of(tables: DataFrame) -> tuple[Discounts, dict[int, int]]:
 
 
 class _Spread:
-    """Fragments that more tokens meet than one is meant for are several: their tables go to each, batches of documents to one of them in turn."""
+    """Fragments that twice the tokens meet that one is meant for are several: their tables go to each, batches of documents to one of them in turn.
+
+    keys: of each fragment its own key and those beside it. Without such fragments nothing changes.
+    """
 
     def __init__(self, spark, cut_: _Cut, loads: dict[int, int], share: float):
-        self.parts = [max(1, round(loads.get(f, 0) * share / FRAGMENT)) for f in range(cut_.count)]
-        self.first = np.cumsum([0, *self.parts])
-        self.count = int(self.first[-1])
-        self.keys = fragment_keys(spark, self.count)
-        rows = [(int(cut_.keys[f]), int(self.keys[self.first[f] + k])) for f in range(cut_.count) for k in range(self.parts[f])]
-        self.of = spark.createDataFrame(rows, "fragment int, _key int")
+        self.spark, spare = spark, iter(range(-1, -(1 << 31), -1))  # keys of fragments are not negative
+        parts = [max(1, int(loads.get(f, 0) * share / FRAGMENT)) for f in range(cut_.count)]
+        self.keys = [[int(cut_.keys[f]), *[next(spare) for _ in range(parts[f] - 1)]] for f in range(cut_.count)]
 
     def tables(self, rows: DataFrame) -> DataFrame:
+        many = [(own[0], key) for own in self.keys if len(own) > 1 for key in own]
+        if not many:
+            return rows
+        of = self.spark.createDataFrame(many, "fragment int, _key int")
         columns = [c for c in rows.columns if c != "fragment"]
-        return join_small(rows, self.of, "fragment").select(F.col("_key").alias("fragment"), *columns)
+        return join_small(rows, of, "fragment", "left").select(F.coalesce("_key", "fragment").alias("fragment"), *columns)
 
 
 def _word_share(d: Discounts, counts: np.ndarray) -> np.ndarray:
@@ -318,7 +322,7 @@ def backoff_tables(tables: DataFrame, d: Discounts, cut_: _Cut) -> DataFrame:
 def score_texts(documents: DataFrame, tables: DataFrame, backoff: DataFrame, d: Discounts, cut_: _Cut, spread: _Spread) -> DataFrame:
     """Rows (key, rows, n_tokens, n_known, base_score, score) of documents' (key, text), summed over the rows of a key."""
     n_all = d.tokens + d.words + 1
-    parts, first, own_keys = spread.parts, spread.first, spread.keys
+    own_keys = spread.keys
 
     def packed(batches):
         for turn, ((keys,), words, before, of) in enumerate(_batches(batches, ("key",))):
@@ -338,7 +342,7 @@ def score_texts(documents: DataFrame, tables: DataFrame, backoff: DataFrame, d:
                 used, place = np.unique(of[x:y], return_inverse=True)
                 short, over = _short(times[i:j])
                 many = per_word[a:b]
-                yield _row(cut_, f, 4, key=own_keys[first[f] + turn % parts[f]], words=pack(kinds[a:b], BYTES), pairs=many.astype("<u4").tobytes(), before=_pack_pairs(before[start[i:j]]), times=short, counts=over, docs=place.astype("<u2").tobytes(), extra=keys[used].astype("<i8").tobytes())
+                yield _row(cut_, f, 4, key=own_keys[f][turn % len(own_keys[f])], words=pack(kinds[a:b], BYTES), pairs=many.astype("<u4").tobytes(), before=_pack_pairs(before[start[i:j]]), times=short, counts=over, docs=place.astype("<u2").tobytes(), extra=keys[used].astype("<i8").tobytes())
 
     def reduce(held):
         import pyarrow as pa
@@ -407,7 +411,7 @@ def score_texts(documents: DataFrame, tables: DataFrame, backoff: DataFrame, d:
             )
 
     rows = documents.mapInArrow(lean(packed), PACKED).union(spread.tables(tables.withColumn("extra", F.lit(None).cast("binary")))).union(spread.tables(backoff))
-    got = exchange(rows, spread.count, reduce, "key long, rows long, n_tokens long, n_known long, base_score double, score double")
+    got = exchange(rows, max(cut_.count, sum(map(len, own_keys))), reduce, "key long, rows long, n_tokens long, n_known long, base_score double, score double")
     return got.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("rows", "n_tokens", "n_known", "base_score", "score")])
 
 

@@ -39,9 +39,9 @@ def test_hot_words_are_spread(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
     seen = []
     kept = katz._Spread.__init__
-    monkeypatch.setattr(katz._Spread, "__init__", lambda self, *a: (kept(self, *a), seen.append(self.parts))[0])
+    monkeypatch.setattr(katz._Spread, "__init__", lambda self, *a: (kept(self, *a), seen.append(max(map(len, self.keys))))[0])
     check(score_documents(df, F.col("doc_id") % 7 == 2, 4).collect(), rows, Katz([t for i, t in rows if i % 7 != 2]))
-    assert max(seen[0]) > 4
+    assert seen[0] > 4
 
 
 def test_edges(spark):
