@@ -36,7 +36,7 @@ START, END = U64(0x56789ABCDE13), U64(0x8ACE13579BD)
 #: Counts up to this are discounted. Bigrams are kept from this count on.
 MOST_DISCOUNTED, LEAST_KEPT = 5, 1
 #: Tokens that are packed at a time, and that one fragment is meant to be met by.
-BATCH, FRAGMENT = 2_500_000, 10_000_000
+BATCH, FRAGMENT = 1_600_000, 10_000_000
 
 
 @dataclass(frozen=True)
