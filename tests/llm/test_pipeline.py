@@ -51,4 +51,4 @@ def test_stages_take_edges(spark):
 
 def test_near_duplicates_keep_texts_of_one_id_apart(spark):
     kept = corpus_pipeline.near_duplicates(spark, edges.documents(spark), FOLDER)
-    assert edges.got_ids(kept.collect()) == [-1, 0, 1, 2, 3, 4, 6, 9, 10, 11, 12]
+    assert edges.got_ids(kept.collect()) == [-1, 0, 1, 2, 3, 4, 6, 9, 10, 11, 12, 13, 14, 15, 16]
